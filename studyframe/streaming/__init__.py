@@ -1,0 +1 @@
+"""The study workflow is batch only, so no streaming operator is provided."""
