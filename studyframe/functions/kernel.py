@@ -61,7 +61,13 @@ def _apart(rate: Column, *others: str) -> Column:
 
 
 def with_rates(params: DataFrame, model: LinearModel) -> DataFrame:
-    """Add ``_ka _k12 _k21 _a _b _lag`` and per-metabolite formation/elimination columns."""
+    """Add ``_ka _k12 _k21 _a _b _lag`` and per-metabolite formation/elimination columns.
+
+    Compute them per subject, below an aggregate or an explode: a filter on a response is
+    then rewritten over plain rate columns and not over the whole derivation.
+    """
+    if "_a" in params.columns:
+        return params
     out = params.withColumns({"_ke": F.expr(model.eliminated), "_k12": F.expr(model.k12),
                               "_k21": F.expr(model.k21), "_lag": F.expr(model.lag)})
     total = F.col("_k12") + F.col("_k21") + F.col("_ke")

@@ -16,8 +16,14 @@ CARRY_BLOCKS = 3
 
 
 def _subject_terms(params: DataFrame, model: LinearModel, initial: dict[str, str]) -> DataFrame:
-    """One row per subject and exponential: its rate and its share in every compartment."""
-    rated = with_rates(params, model)
+    """One row per subject: the exponentials with their shares in every compartment.
+
+    The aggregate keeps the optimizer from rewriting the derivation into later filters; it
+    partitions by ID, as the join that follows does.
+    """
+    wide = with_rates(params, model)
+    names = [c for c in wide.columns if c.startswith("_")] + list((initial or {}).values())
+    rated = wide.groupBy("ID").agg(*[F.first(c).alias(c) for c in names])
     dosed = response(model, "GUT")
     present = from_initial(model, {c: F.col(column) for c, column in initial.items()})
     slots = [F.struct(F.lit(i).alias("slot"), F.col(rate).alias("rate"),
@@ -52,7 +58,7 @@ def dose_superposition(obs: DataFrame, doses: DataFrame, params: DataFrame, mode
         "ID", F.lit(None).cast(obs.schema[row_key].dataType).alias(row_key),
         F.col("time").cast("double"), F.col("amt").cast("double"), F.lit(1).alias("_kind"))
     slotted = (join_on(marks.unionByName(given), subjects, ["ID"])
-               .withColumn("_s", F.explode("_slots"))
+               .withColumn("_s", F.explode_outer("_slots"))
                .withColumn("_at", F.when(F.col("_kind") == 1, F.col("time") + F.col("_lag"))
                            .otherwise(F.col("time")))
                .withColumn("_block", F.floor(F.col("_at") * F.col("_s.rate") / SPAN)))

@@ -7,8 +7,10 @@ import math
 from pyspark.sql import functions as F
 
 from studyframe.functions import models
+from studyframe.functions.kernel import with_rates
 from studyframe.operators import population
-from studyframe.operators.superpose import dose_superposition
+from studyframe.operators.grids import regimen_grid
+from studyframe.operators.superpose import dose_superposition, regimen_response
 from studyframe.operators.vpc import mean_at
 from studyframe.plans import regimen
 from studyframe.plans.catalog.reference_sql import query
@@ -159,11 +161,9 @@ def washout_means(spark, d):
 
 def typical_regimen(spark, d):
     """The projection form of the kernels, at fixed effects, over a two-dose schedule."""
-    from studyframe.operators.grids import regimen_grid
-    from studyframe.operators.superpose import regimen_response
     model = models.ORAL_HABITUAL
     people = population.individual_params(fixed_etas(_ids(spark, d), 11), model)
-    people = population.initial_amounts(people, model)
+    people = with_rates(population.initial_amounts(people, model), model)
     rows = regimen_grid(people, regimen.SHORT_TIMES, [0, 8], 100, 1, 30)
     out = regimen_response(rows, model, [0, 8], 100.0, {c: f"{c}_0" for c in model.initial})
     return out.select("ID", "time", F.round(F.col("CENT") / F.col("V1"), 6).alias("IPRECA"),

@@ -39,14 +39,14 @@ def emax_effects(spark, d):
         "dataset", "Conc", F.round("Eff", 6).alias("Eff"),
         F.round(responses.sigmoid_emax(conc, 100, 30, 1.2), 6).alias("sigmoid"),
         F.round(responses.emax_inhibition(conc, 0.446), 6).alias("left"),
-        F.round(responses.um_to_mgl(conc), 6).alias("mgl"),
+        F.round(responses.um_to_mgl(conc), 9).alias("mgl"),
         F.round(responses.ug_to_pmol(conc), 6).alias("pmol"),
         F.round(responses.gfr_to_ml_min(conc), 6).alias("ml_min"),
         F.round(responses.gfr_to_l_h(conc), 6).alias("l_h"))
 
 
 def significant_digits(spark, d):
-    value = F.col("value") * F.pow(F.lit(10.0), F.col("event_id") % 7 - 3)
+    value = F.col("value") * 1.2345678 * F.pow(F.lit(10.0), F.col("event_id") % 7 - 3)
     return fx.table(spark, d, "events").select(
         "event_id", F.round(responses.signif(value, 3), 9).alias("signif3"))
 
@@ -105,7 +105,7 @@ def prediction_corrected(spark, d):
     joined = fx.simulated(spark, d).join(pred, "OBS")
     pred_or_zero = F.when(F.col("OBS") % 50 == 0, 0.0).otherwise(F.col("P_PRED"))
     return joined.select("OBS", "SIM", F.round(
-        responses.prediction_correct(F.col("P"), 20 + F.col("time") / 2, pred_or_zero), 6)
+        responses.prediction_correct(F.col("P"), 20 + F.col("time") / 2, pred_or_zero), 9)
         .alias("pcY"))
 
 
@@ -140,12 +140,12 @@ SELECT ID, {_EGFR.format(s='(secr / 88.4)')} AS egfr, {_EGFR.format(s='(secr / 8
 FROM (SELECT *, CASE sex WHEN 1 THEN 0.9 ELSE 0.7 END::DOUBLE AS k, CASE sex WHEN 1 THEN -0.411 ELSE -0.329 END::DOUBLE AS a FROM fx_subject)""", "fx_subject"),
     "emax_effects": query("""
 SELECT dataset, Conc, round(Eff, 6) AS Eff, round(100 / (1 + power(30 / Conc, 1.2)), 6) AS sigmoid,
-  round(1 - 0.446 * Conc / (Conc + 5.8257), 6) AS "left", round(Conc * 0.19419, 6) AS mgl, round(Conc * 1e6 / 4117.8, 6) AS pmol,
+  round(1 - 0.446 * Conc / (Conc + 5.8257), 6) AS "left", round(Conc * 0.19419, 9) AS mgl, round(Conc * 1e6 / 4117.8, 6) AS pmol,
   round(Conc * 16.667, 6) AS ml_min, round(Conc / 16.667, 6) AS l_h FROM fx_points""", "fx_points"),
     "significant_digits": """
 SELECT event_id, round(CASE WHEN v = 0 THEN 0.0 ELSE round(v / power(10, e)) * power(10, e) END, 9) AS signif3
 FROM (SELECT event_id, v, CASE WHEN v = 0 THEN 0 ELSE floor(log10(abs(nullif(v, 0)))) - 2 END AS e
-      FROM (SELECT event_id, value * power(10, event_id % 7 - 3) AS v FROM events))""",
+      FROM (SELECT event_id, value * 1.2345678::DOUBLE * power(10, event_id % 7 - 3) AS v FROM events))""",
     "params_oral": query("SELECT ID, " + ", ".join(
         f"round({tv} * exp({eta_sql(n)}), 6) AS {p}" for p, tv, n in _ORAL) + " FROM fx_subject",
         "fx_subject"),
@@ -167,7 +167,7 @@ FROM (SELECT *, first_value(P) OVER (PARTITION BY SIM, ID ORDER BY tick, OBS) AS
 SELECT OBS, TRT, round(CALAMT - P_PRED, 6) AS RES, round(CASE WHEN CALAMT > 0 THEN ln(CASE WHEN CALAMT > 0 THEN CALAMT END) - ln(P_PRED) END, 6) AS logRES
 FROM fx_obs JOIN fx_pred USING (OBS)""", "fx_obs", "fx_pred"),
     "prediction_corrected": query("""
-SELECT OBS, SIM, round(s.P * (20 + s.time / 2) / nullif(CASE WHEN OBS % 50 = 0 THEN 0 ELSE P_PRED END, 0), 6) AS pcY
+SELECT OBS, SIM, round(s.P * (20 + s.time / 2) / nullif(CASE WHEN OBS % 50 = 0 THEN 0 ELSE P_PRED END, 0), 9) AS pcY
 FROM fx_sim s JOIN fx_pred USING (OBS)""", "fx_sim", "fx_pred"),
     "scale_limits": query("""
 SELECT OBS, 'RES' AS axis, round(CALAMT - P_PRED, 6) AS v FROM fx_obs JOIN fx_pred USING (OBS) WHERE CALAMT - P_PRED BETWEEN -5 AND 5

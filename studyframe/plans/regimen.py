@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studyframe.functions.kernel import LinearModel
+from studyframe.functions.kernel import LinearModel, with_rates
 from studyframe.functions.models import ANALYTES
 from studyframe.functions.responses import exponential_error, proportional_error
 from studyframe.operators import grids, population
@@ -40,6 +40,7 @@ def simulate_regimen(ids: DataFrame, model: LinearModel, times: list[float],
     effects from its id, and all share the short dose list."""
     people = population.draw_etas(ids.select("ID"), "ID", model, seed)
     people = population.initial_amounts(population.individual_params(people, model), model, empty)
+    people = with_rates(people, model)
     rows = grids.regimen_grid(people, times, dose_times, dose, cmt, per_sim)
     rows = population.draw_eps(rows, ["ID", "time"], model, seed + 1)
     amounts = regimen_response(rows, model, dose_times, dose,
