@@ -51,10 +51,9 @@ def without_half_point(points: DataFrame, keys: list[str]) -> DataFrame:
 
 def hill_profile(points: DataFrame, keys: list[str]) -> DataFrame:
     """Objective over the coarse hill grid (every dataset x grid point)."""
-    grid = F.explode(F.sequence(F.lit(0), F.lit(COARSE_POINTS))) * COARSE_STEP
-    return _scores(_collapsed(points, keys).select("*", F.explode(
-        F.transform(F.sequence(F.lit(0), F.lit(COARSE_POINTS)),
-                    lambda k: k * F.lit(COARSE_STEP))).alias("hill")), keys)
+    step = F.explode(F.sequence(F.lit(0), F.lit(COARSE_POINTS)))
+    gridded = _collapsed(points, keys).withColumn("_k", step)
+    return _scores(gridded.withColumn("hill", F.col("_k") * F.lit(COARSE_STEP)), keys)
 
 
 def _collapsed(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,7 +85,7 @@ def fit_hill(points: DataFrame, keys: list[str], passes: int = 3) -> DataFrame:
         # clamping may repeat a bound; repeated points would be counted twice
         near = near.distinct()
         best = _best(_scores(near, keys), keys)
-    return best.withColumn("hill", signif(F.col("hill"), 3))
+    return best.withColumn("hill", signif(F.round("hill", 6), 3))
 
 
 def predict_curve(fits: DataFrame, grid: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ _COARSE = _score("(SELECT rest.*, k * 0.1::DOUBLE AS hill FROM rest CROSS JOIN r
 _FINE = _score("""(SELECT rest.*, least(greatest(top + (k - 1111) * 0.0001::DOUBLE, 0), 9) AS hill
   FROM rest JOIN (SELECT dataset, arg_min(hill, m2ll) AS top FROM coarse GROUP BY dataset) USING (dataset) CROSS JOIN range(2223) g(k))""")
 _BEST = """
-SELECT dataset, ec50, round(h / power(10, floor(log10(h)) - 2)) * power(10, floor(log10(h)) - 2) AS hill, n, sigma, m2ll
+SELECT dataset, ec50, round(round(h, 6) * power(10, 2 - floor(log10(h)))) / power(10, 2 - floor(log10(h))) AS hill, n, sigma, m2ll
 FROM (SELECT *, hill AS h FROM fine) QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY m2ll, h) = 1"""
 
 ORACLES = {
