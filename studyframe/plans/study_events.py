@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from studyframe.functions.clock import day_origin, hours_between, minus_months
 from studyframe.operators import events, grids
 from studyframe.operators.grouping import join_on
 
@@ -32,14 +33,14 @@ def observations(raw: DataFrame, key: str = "ID_ORIG",
     out = raw
     for condition, months in corrections or []:
         out = events.correct_where(out, condition, "DATST",
-                                   events.minus_months(F.col("DATST"), months))
+                                   minus_months(F.col("DATST"), months))
     out = events.with_amounts(events.code_events(out))
     subjects = events.rekey(subject_table(out, key), key)
     joined = join_on(out, subjects, [key], "left")
-    origin = events.day_origin(F.col("_first"))
+    origin = day_origin(F.col("_first"))
     return (joined.withColumns({
-        "time": events.hours_between(F.col("DATST"), origin),
-        "TIMEEND": events.hours_between(F.col("DATEN"), origin)})
+        "time": hours_between(F.col("DATST"), origin),
+        "TIMEEND": hours_between(F.col("DATEN"), origin)})
         .withColumn("dTIME", F.col("TIMEEND") - F.col("time")).drop("_first"))
 
 
