@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 HOT_ROWS_CONF = "spark.studyframe.hotGroupRows"
 HOT_ROWS_DEFAULT = 2_000_000
-CHUNK_STEPS = 10  # a hot group is cut into up to 2**10 chunks
+CHUNK_SIDE = 32  # a hot group is cut into up to CHUNK_SIDE**2 chunks
 SKETCH_ACCURACY = 10_000
 
 
@@ -70,23 +70,30 @@ def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 def _with_chunks(df: DataFrame, keys: list[str], order: str, limit: int) -> DataFrame:
     """Add ``_chunk``: 0 in ordinary groups, else a step function of the order column."""
     hot = hot_groups(df, keys, limit)
-    pieces = 2 ** CHUNK_STEPS
+    pieces = CHUNK_SIDE ** 2
     probes = [i / pieces for i in range(1, pieces)]
     # one row per hot group, so the broadcast is bounded by (all rows / limit)
     edges = (join_on(df.select(*keys, order), F.broadcast(hot), keys)
              .groupBy(*keys)
              .agg(F.percentile_approx(F.col(order).cast("double"), probes,
-                                      SKETCH_ACCURACY).alias("_edges")))
-    out = join_on(df, F.broadcast(edges), keys, "left").withColumn("_chunk", F.lit(0))
-    step = pieces // 2
-    while step:  # binary search for the number of edges at or below the value
-        probe = F.get(F.col("_edges"), F.col("_chunk") + F.lit(step - 1))
-        above = F.col("_edges").isNotNull() & (
-            F.col(order).isNull() | (F.col(order).cast("double") >= probe))
-        out = out.withColumn(
-            "_chunk", F.when(above, F.col("_chunk") + F.lit(step)).otherwise(F.col("_chunk")))
-        step //= 2
-    return out.drop("_edges")
+                                      SKETCH_ACCURACY).alias("_edges"))
+             .withColumn("_coarse", F.transform(
+                 F.sequence(F.lit(1), F.lit(CHUNK_SIDE - 1)),
+                 lambda i: F.get(F.col("_edges"), i * CHUNK_SIDE - 1))))
+    value = F.col(order).cast("double")
+
+    def reached(edge: Column) -> Column:
+        return value.isNull() | (edge <= value)
+
+    # edges at or below the value: whole blocks first, then inside one block
+    blocks = F.size(F.filter("_coarse", reached))
+    block = F.slice("_edges", F.col("_blocks") * CHUNK_SIDE + 1, CHUNK_SIDE - 1)
+    inside = F.size(F.filter(block, reached))
+    return (join_on(df, F.broadcast(edges), keys, "left")
+            .withColumn("_blocks", blocks)
+            .withColumn("_chunk", F.when(F.col("_edges").isNull(), 0).otherwise(
+                F.col("_blocks") * CHUNK_SIDE + inside))
+            .drop("_edges", "_coarse", "_blocks"))
 
 
 def _ascending(order: list[str]) -> list[Column]:
@@ -99,7 +106,7 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[st
 
     ``order`` ascends with nulls last; its first column must be numeric and the
     order must be total. With a hot group the sums restart at chunk boundaries and
-    the totals of the earlier chunks (at most 2**CHUNK_STEPS per group) are added.
+    the totals of the earlier chunks (at most CHUNK_SIDE**2 per group) are added.
     """
     if not has_hot_group(df, keys, group_rows):
         w = (Window.partitionBy(*keys).orderBy(*_ascending(order))
@@ -118,7 +125,8 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[st
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     joined = join_on(chunked, offsets, [*keys, "_chunk"], "left")
     return joined.withColumns({
-        out: F.sum(c).over(within) + F.coalesce(F.col(f"_before_{i}"), F.lit(0))
+        out: F.coalesce(F.sum(c).over(within) + F.coalesce(F.col(f"_before_{i}"), F.lit(0)),
+                        F.col(f"_before_{i}"))  # no value yet in this chunk
         for i, (out, c) in enumerate(sums.items())
     }).drop("_chunk", *carried)
 
