@@ -39,7 +39,7 @@ def event_columns(df, columns=EVENT_COLUMNS):
         elif c in ("TRT", "MAT", "scenario"):
             out.append(F.col(c))
         else:
-            out.append(F.round(F.col(c).cast("double"), 6).alias(c))
+            out.append(F.round(F.col(c).cast("double"), 10).alias(c))
     return df.select(*out)
 
 
@@ -51,7 +51,7 @@ def event_sql(columns=EVENT_COLUMNS):
         elif c in ("TRT", "MAT", "scenario"):
             out.append(c)
         else:
-            out.append(f"round({c}::DOUBLE, 6) AS {c}")
+            out.append(f"round({c}::DOUBLE, 10) AS {c}")
     return ", ".join(out)
 
 
@@ -129,7 +129,7 @@ def event_codes(spark, d):
                        F.col("cmt").cast("long").alias("cmt"), "amt",
                        F.col("evid").cast("long").alias("evid"),
                        F.col("rate").cast("long").alias("rate"),
-                       F.round("CALAMT", 6).alias("CALAMT"))
+                       F.round("CALAMT", 10).alias("CALAMT"))
 
 
 def blank_and_set(spark, d):
@@ -161,8 +161,9 @@ def filter_arm_not_negative(spark, d):
 
 
 def select_rename(spark, d):
-    return events.select_rename(fx.predicted(spark, d), "ID_ORIG", "OBS", PRED="P_PRED",
-                                TIME="time")
+    out = events.select_rename(fx.predicted(spark, d), "ID_ORIG", "OBS", PRED="P_PRED",
+                               TIME="time")
+    return out.withColumn("PRED", F.round("PRED", 10))
 
 
 def capped_gfr(spark, d):
@@ -214,7 +215,7 @@ def sort_events(spark, d):
 def union_rows(spark, d):
     obs = fx.observed(spark, d).select("ID", "TRT", "time", "CALAMT")
     pred = fx.predicted(spark, d).select(F.col("ID_ORIG").alias("ID"), "time", "P_PRED")
-    return events.union_rows(obs, pred)
+    return events.union_rows(obs, pred).withColumn("P_PRED", F.round("P_PRED", 10))
 
 
 def arm_summary(spark, d):
@@ -317,8 +318,8 @@ def zip_columns(spark, d):
     urine = obs.filter("MAT = 'Urine'").select("ID_ORIG", F.col("SAMPLE").alias("U_SAMPLE"),
                                                F.col("CALAMT").alias("U_CALAMT"))
     out = attach.zip_columns(plasma, urine, ["ID_ORIG"], ["SAMPLE"], ["U_SAMPLE"])
-    return out.select("ID_ORIG", "SAMPLE", "U_SAMPLE", F.round("CALAMT", 6).alias("CALAMT"),
-                      F.round("U_CALAMT", 6).alias("U_CALAMT"))
+    return out.select("ID_ORIG", "SAMPLE", "U_SAMPLE", F.round("CALAMT", 10).alias("CALAMT"),
+                      F.round("U_CALAMT", 10).alias("U_CALAMT"))
 
 
 def paired_difference(spark, d):
@@ -404,7 +405,7 @@ SELECT ID, time, CASE WHEN time IN (0, 24) THEN 100.0 ELSE 0.0 END::DOUBLE AS am
 SELECT ID, amt, k AS dose_no, k * 24.0::DOUBLE AS time, 1::BIGINT AS evid
 FROM fx_subject CROSS JOIN (VALUES (20.0::DOUBLE), (40.0)) a(amt) CROSS JOIN range(11) g(k)""", "fx_subject"),
     "replicate_study": query(f"""
-SELECT (s * (SELECT count(DISTINCT ID) FROM obs) + ID)::BIGINT AS ID, ID_ORIG, (s + 1)::BIGINT AS SIM, SAMPLE, round(time, 6) AS time, round(CALAMT, 6) AS CALAMT
+SELECT (s * (SELECT count(DISTINCT ID) FROM obs) + ID)::BIGINT AS ID, ID_ORIG, (s + 1)::BIGINT AS SIM, SAMPLE, round(time, 10) AS time, round(CALAMT, 10) AS CALAMT
 FROM obs CROSS JOIN range({NSIM}) r(s)""", "obs"),
     "month_correction": query("""
 SELECT ID_ORIG, SAMPLE, CASE WHEN ID_ORIG % 3 = 0 AND SAMPLE % 5 = 0
@@ -414,7 +415,7 @@ FROM fx_study""", "fx_study"),
         f"SELECT {event_sql(['ID_ORIG', 'SAMPLE', 'time', 'TIMEEND', 'dTIME'])} FROM obs", "obs"),
     "event_codes": query("""
 SELECT SAMPLE, CASE WHEN TRT = 'Caffeine' THEN 1 ELSE 0 END::BIGINT AS TRT, TRT AS ARM, cmt::BIGINT AS cmt, amt, evid::BIGINT AS evid,
-  rate::BIGINT AS rate, round(CALAMT, 6) AS CALAMT FROM obs""", "obs"),
+  rate::BIGINT AS rate, round(CALAMT, 10) AS CALAMT FROM obs""", "obs"),
     "blank_and_set": query("""
 SELECT SAMPLE, NULL::DOUBLE AS VOL, NULL::DOUBLE AS CAL, NULL::TIMESTAMP AS DATEN, 1.5::DOUBLE AS SOD, 1.5::DOUBLE AS NACL, CACL FROM fx_study""", "fx_study"),
     "rename_pattern": query('SELECT ID, wt AS ETA1, ht AS ETA2, age AS CENT_0 FROM fx_subject',
@@ -425,7 +426,7 @@ SELECT {event_sql(['ID', 'SAMPLE', 'time', 'CALAMT'])} FROM event_table WHERE cm
 SELECT {event_sql(['ID', 'SAMPLE', 'time', 'CALAMT'])} FROM event_table WHERE cmt = 31 AND evid = 1""", "event_table"),
     "filter_arm_not_negative": query("""
 SELECT SIM, count(*) AS n, round(sum(P - 1), 6) AS total FROM fx_sim WHERE TRT = 'Caffeine' AND P - 1 >= 0 GROUP BY SIM""", "fx_sim"),
-    "select_rename": query("SELECT ID_ORIG, OBS, P_PRED AS PRED, time AS TIME FROM fx_pred", "fx_pred"),
+    "select_rename": query("SELECT ID_ORIG, OBS, round(P_PRED, 10) AS PRED, time AS TIME FROM fx_pred", "fx_pred"),
     "capped_gfr": query("""
 SELECT ID_ORIG, round(CASE WHEN avg(CRCL) > 7.2 THEN 7.2 ELSE avg(CRCL) END, 9) AS GFR_0 FROM fx_study GROUP BY ID_ORIG""", "fx_study"),
     "first_per_subject": query("""
@@ -446,7 +447,7 @@ SELECT ID_ORIG, SAMPLE, min(DATST) OVER (PARTITION BY ID_ORIG) AS first_start, r
     "sort_events": query(f"""
 SELECT {event_sql(['ID', 'time', 'amt', 'cmt', 'SAMPLE', 'evid'])} FROM event_table""", "event_table"),
     "union_rows": query("""
-SELECT ID, TRT, time, CALAMT, NULL::DOUBLE AS P_PRED FROM fx_obs UNION ALL SELECT ID_ORIG, NULL, time, NULL, P_PRED FROM fx_pred""", "fx_pred"),
+SELECT ID, TRT, time, CALAMT, NULL::DOUBLE AS P_PRED FROM fx_obs UNION ALL SELECT ID_ORIG, NULL, time, NULL, round(P_PRED, 10) FROM fx_pred""", "fx_pred"),
     "arm_summary": query(
         "SELECT TRT, SIM, count(*) AS n, round(avg(P), 6) AS mean_p FROM fx_sim GROUP BY TRT, SIM", "fx_sim"),
     "event_table": query(f"SELECT {event_sql()} FROM event_table", "event_table"),
@@ -457,18 +458,18 @@ SELECT {event_sql(['ID', 'time', 'amt', 'evid', 'rate', 'cmt'])} FROM event_tabl
 UNION ALL
 SELECT ID::BIGINT, k * 0.5::DOUBLE, 0.0::DOUBLE, 0::BIGINT, 0::BIGINT, 1::BIGINT FROM (SELECT DISTINCT ID FROM obs) CROSS JOIN range(97) g(k)""", "event_table"),
     "attach_attributes": query("""
-SELECT k.ID::BIGINT AS ID, k.ID_ORIG, k.TRT, k.SIM::BIGINT AS SIM, round(P_0, 6) AS P_0, round(GFR_0, 6) AS GFR_0
+SELECT k.ID::BIGINT AS ID, k.ID_ORIG, k.TRT, k.SIM::BIGINT AS SIM, round(P_0, 10) AS P_0, round(GFR_0, 10) AS GFR_0
 FROM keys k JOIN attrs a USING (ID_ORIG)""", "obs", keys=_KEYS, attrs=_ATTRS),
     "merge_by_subject": query("""
-SELECT a.ID::BIGINT AS ID, round(P_0, 6) AS P_0, wt FROM attrs a JOIN fx_subject s ON s.ID + 1 = a.ID""", "obs", "fx_subject", attrs=_ATTRS),
+SELECT a.ID::BIGINT AS ID, round(P_0, 10) AS P_0, wt FROM attrs a JOIN fx_subject s ON s.ID + 1 = a.ID""", "obs", "fx_subject", attrs=_ATTRS),
     "label_simulated": query(f"""
 SELECT k.SIM::BIGINT AS SIM, k.TRT, k.ID_ORIG, count(*) AS n, round(sum(P), 6) AS sum_p
 FROM fx_sim s JOIN keys k ON k.ID = (s.SIM - 1) * (SELECT count(DISTINCT ID) FROM obs) + s.ID + 1 AND s.SIM <= {NSIM}
 GROUP BY 1, 2, 3""", "obs", "fx_sim", keys=_KEYS),
     "override_scenarios": query("""
 SELECT ID::BIGINT AS ID, TRT, scenario,
-  round(CASE scenario WHEN 'common_p0' THEN 33.32 WHEN 'own_p0' THEN P_0 WHEN 'own_both_emax' THEN P_0 END, 6) AS P_0,
-  round(CASE WHEN scenario IN ('own_gfr', 'own_both_emax') THEN GFR_0 END, 6) AS GFR_0,
+  round(CASE scenario WHEN 'common_p0' THEN 33.32 WHEN 'own_p0' THEN P_0 WHEN 'own_both_emax' THEN P_0 END, 10) AS P_0,
+  round(CASE WHEN scenario IN ('own_gfr', 'own_both_emax') THEN GFR_0 END, 10) AS GFR_0,
   CASE WHEN scenario = 'own_both_emax' THEN 0.446 END::DOUBLE AS PDEMAX
 FROM attrs CROSS JOIN (VALUES ('none'), ('common_p0'), ('own_p0'), ('own_gfr'), ('own_both_emax')) v(scenario)""", "obs", attrs=_ATTRS),
     "prediction_join_time": query("""
@@ -484,12 +485,12 @@ FROM ws s JOIN (SELECT *, round(dTIME * 3600) AS sec FROM wi QUALIFY row_number(
                                          w=_window_sql(">=")),
     "collection_window_strict": query(_WINDOW_OUT, "fx_event", starts=_STARTS, w=_window_sql(">")),
     "zip_columns": query("""
-SELECT p.ID_ORIG, p.SAMPLE, u.SAMPLE AS U_SAMPLE, round(p.CALAMT, 6) AS CALAMT, round(u.CALAMT, 6) AS U_CALAMT
+SELECT p.ID_ORIG, p.SAMPLE, u.SAMPLE AS U_SAMPLE, round(p.CALAMT, 10) AS CALAMT, round(u.CALAMT, 10) AS U_CALAMT
 FROM (SELECT *, row_number() OVER (PARTITION BY ID_ORIG ORDER BY SAMPLE) AS k FROM obs WHERE MAT = 'Plasma') p
 JOIN (SELECT *, row_number() OVER (PARTITION BY ID_ORIG ORDER BY SAMPLE) AS k FROM obs WHERE MAT = 'Urine') u
   ON u.ID_ORIG = p.ID_ORIG AND u.k = p.k""", "obs"),
     "paired_difference": query("""
-SELECT s.ID::BIGINT AS ID, s.k::BIGINT AS pair, round(e.CALAMT * 2 - s.CALAMT, 6) AS dUCA, round(e.TIMEEND - s.time, 6) AS dTIME, round(e.CALAMT, 6) AS CALAMT
+SELECT s.ID::BIGINT AS ID, s.k::BIGINT AS pair, round(e.CALAMT * 2 - s.CALAMT, 10) AS dUCA, round(e.TIMEEND - s.time, 10) AS dTIME, round(e.CALAMT, 10) AS CALAMT
 FROM (SELECT *, row_number() OVER (PARTITION BY ID ORDER BY time, SAMPLE) AS k FROM obs WHERE cmt = 31 AND time IS NOT NULL) s
 JOIN (SELECT *, row_number() OVER (PARTITION BY ID ORDER BY TIMEEND, SAMPLE) AS k FROM obs WHERE TIMEEND IS NOT NULL) e
   ON e.ID = s.ID AND e.k = s.k""", "obs"),

@@ -24,11 +24,11 @@ SELECT user_id AS ID, user_id AS ID_ORIG, event_id AS OBS,
   CAST((extract(DAY FROM ts) % 2) * 1440 + extract(HOUR FROM ts) * 60 + extract(MINUTE FROM ts) AS DOUBLE) / 60 AS time,
   value AS CALAMT FROM events""", []),
     "fx_pred": ("""
-SELECT ID_ORIG, OBS, tick, time, 20 + 0.5 * time + 0.01 * (OBS % 100) AS P_PRED FROM fx_obs""",
+SELECT ID_ORIG, OBS, tick, time, 20 + 0.5::DOUBLE * time + 0.01::DOUBLE * (OBS % 100) AS P_PRED FROM fx_obs""",
                 ["fx_obs"]),
     "fx_sim": ("""
 SELECT o.ID, o.ID_ORIG, o.OBS, o.TRT, o.tick, o.time, s.SIM,
-  o.CALAMT * (0.8 + 0.02 * ((o.OBS * 7 + s.SIM * 13) % 21)) AS P
+  o.CALAMT * (0.8::DOUBLE + 0.02::DOUBLE * ((o.OBS * 7 + s.SIM * 13) % 21)) AS P
 FROM fx_obs o CROSS JOIN (SELECT o_orderkey + 1 AS SIM FROM orders WHERE o_orderkey < 20) s""",
                ["fx_obs"]),
     "fx_event": ("""

@@ -86,11 +86,11 @@ def derived_responses(spark, d):
     first = F.min_by(F.struct(F.col("P").alias("v")), F.struct("tick", "OBS"))["v"]
     based = attach_group(rows, ["SIM", "ID"], P_0=first)
     return based.select(
-        "SIM", "OBS", F.round(responses.percent_of(F.col("P"), F.col("P_0")), 6).alias("CAchange"),
-        F.round(responses.concentration(F.col("P"), F.lit(responses.PLASMA_VOLUME_L)), 6).alias("CaC"),
-        F.round(responses.pm_to_pgml(F.col("P") / 14), 6).alias("PTHc"),
-        F.round(F.col("P") / F.nullif(F.col("P_0"), F.lit(0.0)), 6).alias("OCfrac"),
-        F.round(F.col("P") + F.col("P_0"), 6).alias("OBtot"))
+        "SIM", "OBS", F.round(responses.percent_of(F.col("P"), F.col("P_0")), 8).alias("CAchange"),
+        F.round(responses.concentration(F.col("P"), F.lit(responses.PLASMA_VOLUME_L)), 9).alias("CaC"),
+        F.round(responses.pm_to_pgml(F.col("P") / 14), 9).alias("PTHc"),
+        F.round(F.col("P") / F.nullif(F.col("P_0"), F.lit(0.0)), 9).alias("OCfrac"),
+        F.round(F.col("P") + F.col("P_0"), 9).alias("OBtot"))
 
 
 def residuals(spark, d):
@@ -160,8 +160,8 @@ SELECT ID, 1.18::DOUBLE AS GUT_init, 0.0::DOUBLE AS GUT_0, round(3.40 * exp({eta
     "residual_errors": query("""
 SELECT OBS, round(CALAMT * (1 + (OBS % 19 - 9) / 20.0) + 0.05, 6) AS DVCA, round(CALAMT * exp((OBS % 19 - 9) / 20.0), 6) AS DVEX FROM fx_obs""", "fx_obs"),
     "derived_responses": query("""
-SELECT SIM, OBS, round(100 * P / nullif(P_0, 0), 6) AS CAchange, round(P / 14, 6) AS CaC, round(P / 14 * 9.4, 6) AS PTHc,
-  round(P / nullif(P_0, 0), 6) AS OCfrac, round(P + P_0, 6) AS OBtot
+SELECT SIM, OBS, round(100 * P / nullif(P_0, 0), 8) AS CAchange, round(P / 14, 9) AS CaC, round(P / 14 * 9.4, 9) AS PTHc,
+  round(P / nullif(P_0, 0), 9) AS OCfrac, round(P + P_0, 9) AS OBtot
 FROM (SELECT *, first_value(P) OVER (PARTITION BY SIM, ID ORDER BY tick, OBS) AS P_0 FROM fx_sim)""", "fx_sim"),
     "residuals": query("""
 SELECT OBS, TRT, round(CALAMT - P_PRED, 6) AS RES, round(CASE WHEN CALAMT > 0 THEN ln(CASE WHEN CALAMT > 0 THEN CALAMT END) - ln(P_PRED) END, 6) AS logRES
