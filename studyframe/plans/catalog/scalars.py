@@ -105,7 +105,8 @@ def prediction_corrected(spark, d):
     joined = fx.simulated(spark, d).join(pred, "OBS")
     pred_or_zero = F.when(F.col("OBS") % 50 == 0, 0.0).otherwise(F.col("P_PRED"))
     return joined.select("OBS", "SIM", F.round(
-        responses.prediction_correct(F.col("P"), 20 + F.col("time") / 2, pred_or_zero), 9)
+        responses.prediction_correct(F.col("P"), 19.7364519 + 0.4371293 * F.col("time"),
+                                     pred_or_zero), 6)
         .alias("pcY"))
 
 
@@ -167,7 +168,7 @@ FROM (SELECT *, first_value(P) OVER (PARTITION BY SIM, ID ORDER BY tick, OBS) AS
 SELECT OBS, TRT, round(CALAMT - P_PRED, 6) AS RES, round(CASE WHEN CALAMT > 0 THEN ln(CASE WHEN CALAMT > 0 THEN CALAMT END) - ln(P_PRED) END, 6) AS logRES
 FROM fx_obs JOIN fx_pred USING (OBS)""", "fx_obs", "fx_pred"),
     "prediction_corrected": query("""
-SELECT OBS, SIM, round(s.P * (20 + s.time / 2) / nullif(CASE WHEN OBS % 50 = 0 THEN 0 ELSE P_PRED END, 0), 9) AS pcY
+SELECT OBS, SIM, round(s.P * (19.7364519 + 0.4371293 * s.time) / nullif(CASE WHEN OBS % 50 = 0 THEN 0 ELSE P_PRED END, 0), 6) AS pcY
 FROM fx_sim s JOIN fx_pred USING (OBS)""", "fx_sim", "fx_pred"),
     "scale_limits": query("""
 SELECT OBS, 'RES' AS axis, round(CALAMT - P_PRED, 6) AS v FROM fx_obs JOIN fx_pred USING (OBS) WHERE CALAMT - P_PRED BETWEEN -5 AND 5
