@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from studyframe.llm import quality_model, quality_rules
+from studyframe.llm import bpe, decontaminate, quality_model, quality_rules
 from studyframe.llm.work import table
 
 
@@ -15,12 +15,25 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(docs, quality_rules.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path()))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_model.apply(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op6_quality_classifier)}
+    f.__name__: f for f in (op1_quality_rules, op3_decontamination, op4_bpe, op6_quality_classifier)}
 
 ORACLES: dict[str, str] = {}
