@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from studyframe.llm import bpe, decontaminate, quality_model, quality_rules
+from studyframe.llm import bpe, decontaminate, pii, quality_model, quality_rules
 from studyframe.llm.work import table
 
 
@@ -33,7 +33,11 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.apply(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.spans(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_decontamination, op4_bpe, op6_quality_classifier)}
+    f.__name__: f for f in (op1_quality_rules, op3_decontamination, op4_bpe, op6_quality_classifier, op10_pii)}
 
 ORACLES: dict[str, str] = {}
