@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from studyframe.llm import bpe, decontaminate, pii, quality_model, quality_rules
+from studyframe.llm import bpe, decontaminate, pii, quality_model, quality_rules, wrappers
 from studyframe.llm.work import table
 
 
@@ -28,6 +28,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path()))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_model.apply(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
@@ -38,6 +42,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_decontamination, op4_bpe, op6_quality_classifier, op10_pii)}
+    f.__name__: f for f in (op1_quality_rules, op3_decontamination, op4_bpe, op5_html_extraction, op6_quality_classifier, op10_pii)}
 
 ORACLES: dict[str, str] = {}
