@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from studyframe.llm import bpe, decontaminate, neardup, pii, quality_model, quality_rules, wrappers
+from studyframe.llm import bpe, decontaminate, neardup, pii, quality_model, quality_rules, suffixes, wrappers
 from studyframe.llm.work import table
 
 
@@ -41,11 +41,16 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "links")
 
 
+def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.spans(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_decontamination, op4_bpe, op5_html_extraction, op6_quality_classifier, op7_near_duplicates, op10_pii)}
+    f.__name__: f for f in (op1_quality_rules, op3_decontamination, op4_bpe, op5_html_extraction, op6_quality_classifier, op7_near_duplicates, op9_suffix_repeats,
+        op10_pii)}
 
 ORACLES: dict[str, str] = {}
