@@ -2,8 +2,8 @@
 
 The leaves of the tree hold the merge rank of each adjacent pair together with its place; an inner node holds the lesser of its children, so the root is the
 leftmost pair of lowest rank. A merge changes three leaves and the nodes above them, and merging ends when the root holds no mergeable pair: a run of n
-characters without a space costs n log n. Runs are independent of each other, so Spark splits the documents and each task keeps a bounded store of runs it has
-seen. The vocabulary file (fixed, about 2 MB) is read once on the driver and broadcast.
+characters without a space costs n log n. Short runs, which are nearly all, are merged many at a time: their trees are the rows of one array. Runs are
+independent of each other, so Spark splits the documents and each worker keeps a bounded store of runs it has seen. The vocabulary file (fixed, about 2 MB) is read once on the driver and broadcast.
 
 Cases: null and empty texts have no tokens and decode to the empty text; texts may be of any length; repeated rows and tied ids each give a row; an empty
 table gives no rows; other columns are ignored.
@@ -16,13 +16,18 @@ import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Runs a task remembers before it starts anew.
-STORE = 300_000
+#: Runs a worker remembers before the older half goes.
+STORE = 600_000
+#: Characters of text whose new runs are merged together.
+CHUNK = 2_000_000
+#: Tree widths for runs merged together; longer ones have a tree each.
+WIDTHS = (8, 16, 32, 64)
 _NONE = 1 << 62
 _PLACE = (1 << 40) - 1
 
@@ -34,6 +39,9 @@ def byte_letters() -> list[str]:
     return [chr(b if b in shows else 0x100 + hidden.index(b)) for b in range(256)]
 
 
+Run = tuple[tuple[int, ...], str]
+
+
 class Vocabulary:
     """Ids, merge ranks and splitting rules of a tokenizer file of the word-end kind."""
 
@@ -52,7 +60,15 @@ class Vocabulary:
         self.run = regex.compile(split["pattern"]["Regex"])
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         self.letters = byte_letters()
-        self.store: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.store: dict[str, Run] = {}
+        self.older: dict[str, Run] = {}
+        pairs = np.array([a << 20 | b for a, b in self.merges], np.int64)
+        order = np.argsort(pairs)
+        self._pairs = pairs[order]
+        self._ranks, self._new = np.array(list(self.merges.values()), np.int64).reshape(-1, 2)[order].T.copy()
+        self._by_rank = np.zeros(int(self._ranks.max(initial=0)) + 1, np.int64)
+        self._by_rank[self._ranks] = self._new
+        self._byte, self._last = (np.array([self.ids.get(x + e, -1) for x in self.letters], np.int64) for e in ("", self.end))
 
     def merged(self, symbols: list[int]) -> list[int]:
         """The symbols after all merges."""
@@ -100,46 +116,128 @@ class Vocabulary:
             i = after[i]
         return out
 
-    def encode_run(self, run: str) -> tuple[tuple[int, ...], str]:
+    def encode_run(self, run: str) -> Run:
         letters = [self.letters[b] for b in run.encode()]
         letters[-1] += self.end
         ids = tuple(self.merged([self.ids[x] for x in letters]))
         return ids, " ".join([self.names[i] for i in ids])
 
-    def encode(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """Ids and token texts of each run of the text, added tokens included."""
+    def _keys(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Tree entries of adjacent pairs: merge rank, then place."""
+        wanted = left << 20 | right
+        at = np.minimum(np.searchsorted(self._pairs, wanted), len(self._pairs) - 1)
+        return np.where((self._pairs[at] == wanted) & (right >= 0), self._ranks[at] << 8 | place, _NONE)
+
+    def _merged_together(self, data: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs of at most ``width`` bytes, one after the other, and how many each has. Row r of ``tree`` is the segment tree of run r."""
+        n = len(sizes)
+        symbols = np.full((n, width + 1), -1, np.int64)
+        alive = np.arange(width + 1)[None, :] < sizes[:, None]
+        symbols[alive] = self._byte[data]
+        rows = np.arange(n)
+        symbols[rows, sizes - 1] = self._last[data[np.cumsum(sizes) - 1]]
+        after = np.tile(np.arange(1, width + 2), (n, 1))
+        before = np.tile(np.arange(-1, width), (n, 1))
+        tree = np.full((n, 2 * width), _NONE)
+        tree[:, width:] = self._keys(symbols[:, :-1], symbols[:, 1:], np.arange(width)[None, :])
+        for k in range(width - 1, 0, -1):
+            tree[:, k] = np.minimum(tree[:, 2 * k], tree[:, 2 * k + 1])
+        while len(rows := rows[tree[rows, 1] != _NONE]):
+            root = tree[rows, 1]
+            i = root & 255
+            j = after[rows, i]
+            k = after[rows, j]
+            h = before[rows, i]
+            symbols[rows, i] = self._by_rank[root >> 8]
+            symbols[rows, j] = -1
+            alive[rows, j] = False
+            after[rows, i] = k
+            inside = k <= width
+            before[rows[inside], k[inside]] = i[inside]
+            held = h >= 0
+            tree[rows, width + j] = _NONE
+            tree[rows, width + i] = self._keys(symbols[rows, i], np.where(inside, symbols[rows, np.minimum(k, width)], -1), i)
+            tree[rows[held], width + h[held]] = self._keys(symbols[rows[held], h[held]], symbols[rows[held], i[held]], h[held])
+            for place in (j, i, np.where(held, h, i)):
+                node = (width + place) >> 1
+                while node[0]:
+                    tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
+                    node = node >> 1
+        return symbols[alive], alive.sum(1)
+
+    def encode_runs(self, runs: list[str]) -> list[Run]:
+        """Ids and token texts of each run."""
+        parts = [r.encode() for r in runs]
+        sizes = np.array([len(x) for x in parts], np.int64)
+        out: list[Run | None] = [None] * len(runs)
+        low = 0
+        for width in WIDTHS:
+            mine = np.flatnonzero((sizes > low) & (sizes <= width))
+            low = width
+            if len(mine):
+                ids, counts = self._merged_together(np.frombuffer(b"".join([parts[m] for m in mine]), np.uint8), sizes[mine], width)
+                ids, at = ids.tolist(), 0
+                for m, n in zip(mine.tolist(), counts.tolist(), strict=True):
+                    own = tuple(ids[at:at + n])
+                    out[m] = own, " ".join([self.names[i] for i in own])
+                    at += n
+        return [self.encode_run(runs[k]) if x is None else x for k, x in enumerate(out)]
+
+    def _runs(self, text: str) -> list[str]:
+        """The runs of a text in small letters; added tokens stay as they are."""
         out = []
         for part in self.special.split(text) if self.special and "<" in text else (text,):
             if part in self.added:
-                out.append(((self.added[part],), part))
-                continue
-            # letter by letter, a capital sigma has one small form
-            plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            runs = self.run.findall(plain)
-            found = list(map(self.store.get, runs))
-            if None in found:
-                for k, x in enumerate(found):
-                    if x is None and (x := self.store.get(runs[k])) is None:
-                        if len(self.store) >= STORE:
-                            self.store.clear()
-                        x = self.encode_run(runs[k])
-                        if len(runs[k]) < 100:
-                            self.store[runs[k]] = x
-                    found[k] = x
-            out += found
+                out.append(part)
+            else:
+                # letter by letter, a capital sigma has one small form
+                out += self.run.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
         return out
 
+    def encode_all(self, texts: list[str]) -> Iterator[list[Run]]:
+        """For each text, the ids and token texts of its runs."""
+        at = 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) <= CHUNK:
+                size += len(texts[end])
+                end += 1
+            runs = [self._runs(t) for t in texts[at:end]]
+            new = set(chain.from_iterable(runs)).difference(self.store)
+            fresh = {x: self.older[x] for x in new.intersection(self.older)}
+            fresh |= {x: ((self.added[x],), x) for x in new.intersection(self.added)}
+            rest = sorted(new.difference(fresh))
+            self.store |= fresh
+            self.store.update(zip(rest, self.encode_runs(rest), strict=True))
+            for r in runs:
+                yield list(map(self.store.__getitem__, r))
+            for x in rest:
+                if len(x) > 100:
+                    del self.store[x]
+            if len(self.store) > STORE // 2:
+                self.older, self.store = self.store, {}
+            at = end
+
+    def encode(self, text: str) -> list[Run]:
+        return next(self.encode_all([text]))
+
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.names[i] for i in ids])
 
 
+#: The vocabulary a worker used last, with its store.
+_last: dict[str, Vocabulary] = {}
+
+
 def _encoder(shared):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(shared.value)
+        if shared.value not in _last:
+            _last.clear()
+            _last[shared.value] = Vocabulary(shared.value)
+        vocabulary = _last[shared.value]
         for batch in batches:
             ids, decoded = [], []
-            for text in batch.column("text").to_pylist():
-                runs = vocabulary.encode(text or "")
+            for runs in vocabulary.encode_all([t or "" for t in batch.column("text").to_pylist()]):
                 ids.append(pa.array(chain.from_iterable([r[0] for r in runs]), pa.int32(), size=sum([len(r[0]) for r in runs])))
                 decoded.append(" ".join([r[1] for r in runs]))
             sizes = [0]
