@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from studyframe.llm import bpe, decontaminate, neardup, pii, quality_model, quality_rules, suffixes, wrappers
+from studyframe.llm import bpe, decontaminate, licenses, neardup, pii, quality_model, quality_rules, suffixes, wrappers
 from studyframe.llm.work import table
 
 
@@ -41,6 +41,10 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "links")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeats(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_decontamination, op4_bpe, op5_html_extraction, op6_quality_classifier, op7_near_duplicates, op9_suffix_repeats,
+    f.__name__: f for f in (op1_quality_rules, op3_decontamination, op4_bpe, op5_html_extraction, op6_quality_classifier, op7_near_duplicates, op8_license_scan, op9_suffix_repeats,
         op10_pii)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_license_scan": licenses.sql()}
