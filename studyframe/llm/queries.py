@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from studyframe.llm import bpe, decontaminate, licenses, neardup, pii, quality_model, quality_rules, suffixes, wrappers
-from studyframe.llm.work import table
+from studyframe.llm import bpe, decontaminate, licenses, lm, neardup, pii, quality_model, quality_rules, suffixes, wrappers
+from studyframe.llm.work import id_remainder, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +16,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(docs, quality_rules.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 7) == 2)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,7 +59,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_decontamination, op4_bpe, op5_html_extraction, op6_quality_classifier, op7_near_duplicates, op8_license_scan, op9_suffix_repeats,
+    f.__name__: f for f in (op1_quality_rules, op2_lm_scoring, op3_decontamination, op4_bpe, op5_html_extraction, op6_quality_classifier, op7_near_duplicates, op8_license_scan, op9_suffix_repeats,
         op10_pii)}
 
 ORACLES: dict[str, str] = {"op8_license_scan": licenses.sql()}
