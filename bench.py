@@ -15,7 +15,7 @@ HEADLINE = ["vpc_percentile_bands", "vpc_replicate", "observed_percentiles", "si
             "event_table", "sim_input", "collection_window_strict", "paired_difference",
             "prediction_join_time", "superposed_oral", "loess_half_hours",
             "residual_trend_minutes", "quantile_curves", "box_stats", "fit_hill",
-            "regimen_oral", "truncated_pairs"]
+            "truncated_pairs"]
 
 
 def main() -> None:

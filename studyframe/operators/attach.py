@@ -52,11 +52,27 @@ def attach_predictions(df: DataFrame, predictions: DataFrame, keys: list[str], t
 
 
 def zip_columns(left: DataFrame, right: DataFrame, keys: list[str], left_order: list[str],
-                right_order: list[str]) -> DataFrame:
-    """Pair the k-th rows of two tables within each key (a keyed column bind)."""
-    a = ordinal(left, keys, left_order, "_k")
-    b = ordinal(right, keys, right_order, "_k")
-    return join_on(a, b, [*keys, "_k"]).drop("_k")
+                right_order: list[str], unpaired: str = "keep") -> DataFrame:
+    """Pair the k-th rows of two tables within each key (a keyed column bind).
+
+    Where one table has more rows of a key, the rest is kept with nulls in the other's
+    columns (``unpaired="keep"``), is an error (``"fail"``) or is left out (``"drop"``).
+    """
+    if unpaired not in ("keep", "fail", "drop"):
+        raise ValueError("unpaired must be keep, fail or drop")
+    a = ordinal(left, keys, left_order, "_k").withColumn("_a", F.lit(True))
+    b = ordinal(right, keys, right_order, "_k").withColumnsRenamed(
+        {k: f"__{k}" for k in [*keys, "_k"]}).withColumn("_b", F.lit(True))
+    same = F.lit(True)
+    for k in [*keys, "_k"]:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    out = a.join(b, same, "inner" if unpaired == "drop" else "full")
+    out = out.withColumns({k: F.coalesce(k, f"__{k}") for k in keys})
+    if unpaired == "fail":
+        missing = F.col("_a").isNull() | F.col("_b").isNull()
+        out = out.filter(F.when(missing, F.raise_error(F.lit("a row has no partner")).cast("boolean"))
+                         .otherwise(True))
+    return out.drop("_a", "_b", "_k", *[f"__{k}" for k in [*keys, "_k"]])
 
 
 def paired_difference(df: DataFrame, keys: list[str], flag: str, order: list[str],
@@ -89,36 +105,25 @@ def block_index(number: Column, size: int) -> Column:
 
 
 def collection_window(df: DataFrame, keys: list[str], is_start: Column, time: str, value: str,
-                      order: list[str], inclusive: bool, days: int = 2) -> DataFrame:
-    """Assign each row to the latest of the subject's first ``days`` collection starts.
-
-    Adds ``DAY``, ``dTIME`` and ``dUCA`` relative to that start. The last day is open
-    ended; rows before the first start, and rows of subjects with fewer starts, are
-    dropped. Starts are limited to ``days`` per subject before the shuffle, so the joined
-    side holds one row per subject and nothing depends on the size of a subject.
+                      order: list[str], inclusive: bool) -> DataFrame:
+    """Assign each row to the latest collection start of its subject.
+
+    Adds ``DAY`` (the number of the start), ``dTIME`` and ``dUCA`` relative to it. A subject
+    may have any number of starts; the last day is open ended. Rows before the first start
+    have no day and are left out, as are rows at the very time of a start unless
+    ``inclusive``. Starts become intervals in a window over the starts alone; rows meet
+    them in a join on the subject, which adaptive execution splits if one is large.
     """
     w = Window.partitionBy(*keys).orderBy(*[F.asc_nulls_last(c) for c in order])
     starts = (df.filter(is_start).select(*keys, *dict.fromkeys([*order, time, value]))
-              .withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= days))
-    wide = starts.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("_k") == k, F.col(c))).alias(f"_{name}{k}")
-        for k in range(1, days + 1) for name, c in (("t", time), ("v", value))])
-    joined = join_on(df, wide, keys)
+              .select(*keys, F.row_number().over(w).alias("DAY"), F.col(time).alias("_t"),
+                      F.col(value).alias("_v"), F.lead(time).over(w).alias("_next")))
     t = F.col(time)
-
-    def after(k: int) -> Column:
-        return t >= F.col(f"_t{k}") if inclusive else t > F.col(f"_t{k}")
-
-    day, base_t, base_v = (F.lit(None) for _ in range(3))
-    for k in range(1, days + 1):
-        inside = after(k) & (t < F.col(f"_t{k + 1}")) if k < days else after(k)
-        day = F.when(inside, k).otherwise(day)
-        base_t = F.when(inside, F.col(f"_t{k}")).otherwise(base_t)
-        base_v = F.when(inside, F.col(f"_v{k}")).otherwise(base_v)
-    helper = [f"_{n}{k}" for k in range(1, days + 1) for n in ("t", "v")]
-    return (joined.withColumns({"DAY": day, "dTIME": t - base_t,
-                                "dUCA": F.col(value) - base_v})
-            .filter("DAY is not null").drop(*helper))
+    after = t >= F.col("_t") if inclusive else t > F.col("_t")
+    inside = after & (F.col("_next").isNull() | (t < F.col("_next")))
+    return (join_on(df, starts, keys, extra=inside)
+            .withColumns({"dTIME": t - F.col("_t"), "dUCA": F.col(value) - F.col("_v")})
+            .drop("_t", "_v", "_next"))
 
 
 def override_params(population: DataFrame, attributes: DataFrame, key: str,

@@ -6,9 +6,11 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from studyframe.functions.clock import day_origin, hours_between
 from studyframe.functions.responses import conc_to_amount
+from studyframe.operators.grids import repeat_rows
 from studyframe.operators.grouping import (
     attach_group, first_per, join_on, ordinal)
 
@@ -136,6 +138,13 @@ def rekey(df: DataFrame, key: str, out: str = "ID") -> DataFrame:
     return join_on(df, ranked, [key], "left")
 
 
+def study_order(df: DataFrame, out: str, tie: list[Column] | None = None) -> DataFrame:
+    """Place of every row in study order within its ``ID``, from 1."""
+    w = Window.partitionBy("ID").orderBy(F.asc_nulls_last("time"), F.desc_nulls_last("amt"),
+                                         *(tie or []))
+    return df.withColumn(out, F.row_number().over(w))
+
+
 def sort_study(df: DataFrame, tie: list[str] | None = None) -> DataFrame:
     """``ID, time, amt desc`` with missing values last."""
     return df.orderBy(F.asc_nulls_last("ID"), F.asc_nulls_last("time"),
@@ -166,10 +175,8 @@ def dose_rows(df: DataFrame, key: str = "ID") -> DataFrame:
     """First row per subject, blanked and repeated at the dose times."""
     order = [F.asc_nulls_last("DATST"), F.asc_nulls_last("SAMPLE")]
     blank = blank_columns(first_per(df, [key], order), DOSE_BLANKS)
-    doses = F.array(*[F.lit(t) for t in DOSE_TIMES])
-    return blank.withColumns({
+    return repeat_rows(blank, DOSE_TIMES, "time").withColumns({
         "MAT": F.lit("Dose"), "cmt": F.lit(DOSE_CMT), "evid": F.lit(1), "rate": F.lit(0),
-        "time": F.explode(doses),
         "amt": F.when(F.col("TRT") == "Caffeine", DOSE_AMOUNT).otherwise(0.0)})
 
 

@@ -90,8 +90,10 @@ def fit_hill(points: DataFrame, keys: list[str], passes: int = 3) -> DataFrame:
 
 def predict_curve(fits: DataFrame, grid: DataFrame) -> DataFrame:
     """Fitted effect of every dataset over a short concentration grid, also in mg/L."""
-    steps = grid.agg(F.sort_array(F.collect_list(F.struct("k", "Conc"))).alias("_grid"))
-    return (fits.join(F.broadcast(steps))  # one row: the grid has a fixed length
+    steps = (grid.agg(F.sort_array(F.collect_list(F.struct("k", "Conc"))).alias("_grid"))
+             .withColumn("_one", F.lit(1)))
+    # one row, joined on a constant key: the grid is the caller's short list
+    return (fits.withColumn("_one", F.lit(1)).join(F.broadcast(steps), "_one").drop("_one")
             .withColumn("_g", F.explode("_grid"))
             .withColumns({"k": F.col("_g.k"), "Conc": F.col("_g.Conc")})
             .withColumns({"Eff": sigmoid_emax(F.col("Conc"), EMAX, F.col("ec50"), F.col("hill")),

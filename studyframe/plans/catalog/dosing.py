@@ -11,7 +11,6 @@ from studyframe.functions.kernel import with_rates
 from studyframe.operators import population
 from studyframe.operators.grids import regimen_grid
 from studyframe.operators.superpose import dose_superposition, regimen_response
-from studyframe.operators.vpc import mean_at
 from studyframe.plans import regimen
 from studyframe.plans.catalog.reference_sql import query
 from studyframe.plans.catalog.scalars import _ORAL, eta_sql, fixed_etas
@@ -126,39 +125,6 @@ def _ids(spark, d):
     return fx.subjects(spark, d).select((F.col("ID") + 1).alias("ID"))
 
 
-def _regimen(spark, d, name):
-    if name == "gum":
-        return models.GUM, regimen.simulate_regimen(
-            _ids(spark, d), models.GUM, regimen.SHORT_TIMES, [0], regimen.GUM_DOSE, empty=True)
-    model = {"oral": models.ORAL_ABSTINENT, "habitual": models.ORAL_HABITUAL,
-             "inhaled": models.INHALED}[name]
-    times = regimen.ORAL_TIMES if name == "oral" else regimen.SHORT_TIMES
-    return model, regimen.simulate_regimen(_ids(spark, d), model, times, [0], regimen.ORAL_DOSE)
-
-
-def _percentiles(name):
-    def build(spark, d):
-        model, output = _regimen(spark, d, name)
-        return regimen.regimen_percentiles(output, model)
-    return build
-
-
-def regimen_shape(spark, d):
-    """Invariants of the oral percentile table that hold for any random draw."""
-    model, output = _regimen(spark, d, "oral")
-    table = regimen.regimen_percentiles(output, model)
-    ordered = (F.col("lo90") <= F.col("median")) & (F.col("median") <= F.col("hi90"))
-    return table.groupBy("SIM", "analyte").agg(
-        F.count(F.lit(1)).alias("n_times"), F.sum("n").alias("n_rows"),
-        F.every(ordered).alias("ordered"))
-
-
-def washout_means(spark, d):
-    """Mean concentrations after seven days of abstinence."""
-    _, output = _regimen(spark, d, "oral")
-    return mean_at(output, "time", 168.0, "DVCA", "DVPX")
-
-
 def typical_regimen(spark, d):
     """The projection form of the kernels, at fixed effects, over a two-dose schedule."""
     model = models.ORAL_HABITUAL
@@ -175,9 +141,6 @@ QUERIES = {
     "superposed_inhaled": superposed_inhaled, "typical_regimen": typical_regimen,
     "truncated_weights": truncated_weights, "truncated_pairs": truncated_pairs,
     "drawn_etas": drawn_etas, "drawn_eta_blocks": drawn_eta_blocks, "drawn_eps": drawn_eps,
-    "regimen_oral": _percentiles("oral"), "regimen_habitual": _percentiles("habitual"),
-    "regimen_gum": _percentiles("gum"), "regimen_inhaled": _percentiles("inhaled"),
-    "regimen_shape": regimen_shape, "washout_means": washout_means,
 }
 
 # --- plain SQL of the same responses: one row per (observation, earlier dose) ---
@@ -304,8 +267,4 @@ FROM params CROSS JOIN (VALUES {_TIMES}) t(time)""", "fx_subject", params=_param
                                        (6, 5), (6, 6))]) + " FROM fx_subject", "fx_subject"),
     "drawn_eps": query(_COUNT + _ok(*[
         f"EPS{k}_{c}_ok" for k in (1, 2) for c in ("mean", "var")]) + " FROM fx_obs", "fx_obs"),
-    "regimen_shape": query("""
-SELECT SIM, analyte, 13::BIGINT AS n_times, (13 * n)::BIGINT AS n_rows, TRUE AS ordered
-FROM (SELECT CAST(floor(ID / 30.0) + 1 AS BIGINT) AS SIM, count(*) AS n FROM fx_subject GROUP BY 1)
-CROSS JOIN (VALUES ('Caffeine'), ('Paraxanthine')) a(analyte)""", "fx_subject"),
 }

@@ -78,11 +78,11 @@ def dose_points(spark, d):
 
 
 def result_handoff(spark, d):
-    """Persist replicate statistics by SIM; a later job reads one half of the replicates."""
+    """Persist replicate statistics by SIM; a later job reads them."""
     path = scratch_path(spark, "replicates")
     stats = exact_quantiles(fx.simulated(spark, d), ["SIM", "TRT"], "P", MEDIAN_90)
     study.write_result(stats, path)
-    return (study.read_result(spark, path).filter("SIM > 10")
+    return (study.read_result(spark, path)
             .select(F.col("SIM").cast("long").alias("SIM"), "TRT",
                     *[F.round(c, 10).alias(c) for c in MEDIAN_90], "n"))
 
@@ -206,10 +206,11 @@ def group_scalars(spark, d):
 
 
 def sort_events(spark, d):
-    """Position of every row in study order (the sort itself is global)."""
-    out = events.sort_study(_events(spark, d), [F.asc_nulls_last("cmt"),
-                                                F.asc_nulls_last("SAMPLE"), F.asc("evid")])
-    return event_columns(out, ["ID", "time", "amt", "cmt", "SAMPLE", "evid"])
+    """The globally sorted rows, each with its place in study order within its subject."""
+    tie = [F.asc_nulls_last("cmt"), F.asc_nulls_last("SAMPLE"), F.asc("evid")]
+    rows = events.study_order(_events(spark, d), "pair", tie)
+    return event_columns(events.sort_study(rows, tie),
+                         ["ID", "time", "amt", "cmt", "SAMPLE", "evid", "pair"])
 
 
 def union_rows(spark, d):
@@ -263,8 +264,8 @@ def merge_by_subject(spark, d):
 
 def label_simulated(spark, d):
     n = _subject_count(spark, d)
-    keys = attach.simulation_keys(_attributes(spark, d), NSIM, n)
-    output = fx.simulated(spark, d, NSIM).select(
+    keys = attach.simulation_keys(_attributes(spark, d), fx.REPLICATES, n)
+    output = fx.simulated(spark, d).select(
         ((F.col("SIM") - 1) * n + F.col("ID") + 1).alias("ID"), "OBS", "P")
     out = attach.label_simulated(output, keys)
     return out.groupBy("SIM", "TRT", "ID_ORIG").agg(
@@ -311,7 +312,7 @@ def _window_query(inclusive):
 
 
 def zip_columns(spark, d):
-    """Pair the k-th plasma sample with the k-th urine sample of each subject."""
+    """Pair the k-th plasma sample with the k-th urine sample of each subject; what is over stays."""
     obs = events.with_amounts(fx.study(spark, d)).withColumn("_missing",
                                                              F.col("DATST").isNull().cast("int"))
     plasma = obs.filter("MAT = 'Plasma'").select("ID_ORIG", "SAMPLE", "CALAMT")
@@ -335,7 +336,8 @@ def paired_residuals(spark, d):
     """Plasma residuals against predictions matched by subject and ordinal."""
     obs = fx.observed(spark, d).select("ID_ORIG", "OBS", "TRT", "time", "CALAMT")
     pred = fx.predicted(spark, d).select("ID_ORIG", F.col("OBS").alias("P_OBS"), "P_PRED")
-    out = attach.zip_columns(obs, pred, ["ID_ORIG"], ["OBS"], ["P_OBS"])
+    out = attach.zip_columns(obs, pred, ["ID_ORIG"], ["OBS"], ["P_OBS"],
+                             unpaired="fail")
     return out.select("ID_ORIG", "OBS", "TRT",
                       F.round(F.col("CALAMT") - F.col("P_PRED"), 6).alias("RES"))
 
@@ -363,23 +365,24 @@ QUERIES = {
 }
 
 _DOSED = "(VALUES (0.0::DOUBLE), (0.5), (1.0), (1.5), (2.0), (4.0), (6.0), (8.0), (10.0), (24.0)) t(time)"
-_KEYS = f"""
+def _keys(nsim: int) -> str:
+    return f"""
 SELECT s * (SELECT count(DISTINCT ID) FROM obs) + ID AS ID, ID_ORIG, TRT, s + 1 AS SIM
-FROM (SELECT DISTINCT ID, ID_ORIG, TRT FROM obs) CROSS JOIN range({NSIM}) r(s)"""
+FROM (SELECT DISTINCT ID, ID_ORIG, TRT FROM obs) CROSS JOIN range({nsim}) r(s)"""
+
+
+
 _ATTRS = "SELECT DISTINCT ID, ID_ORIG, TRT, P_0, GFR_0 FROM obs"
 _STARTS = """
-SELECT ID, tick / 3600.0 AS t, UCA AS v, row_number() OVER (PARTITION BY ID ORDER BY tick, REC) AS k
-FROM fx_event WHERE evid = 1"""
+SELECT ID, tick / 3600.0 AS t, UCA AS v, row_number() OVER s AS k, lead(tick / 3600.0) OVER s AS u
+FROM fx_event WHERE evid = 1 WINDOW s AS (PARTITION BY ID ORDER BY tick, REC)"""
 
 
 def _window_sql(op: str) -> str:
     return f"""
-SELECT e.ID, e.REC, 1::BIGINT AS DAY, e.tick / 3600.0 - a.t AS dTIME, e.UCA - a.v AS dUCA
-FROM fx_event e JOIN starts a ON a.ID = e.ID AND a.k = 1 JOIN starts b ON b.ID = e.ID AND b.k = 2
-WHERE e.tick / 3600.0 {op} a.t AND e.tick / 3600.0 < b.t
-UNION ALL
-SELECT e.ID, e.REC, 2::BIGINT, e.tick / 3600.0 - b.t, e.UCA - b.v
-FROM fx_event e JOIN starts b ON b.ID = e.ID AND b.k = 2 WHERE e.tick / 3600.0 {op} b.t"""
+SELECT e.ID, e.REC, a.k::BIGINT AS DAY, e.tick / 3600.0 - a.t AS dTIME, e.UCA - a.v AS dUCA
+FROM fx_event e JOIN starts a ON a.ID = e.ID
+WHERE e.tick / 3600.0 {op} a.t AND (a.u IS NULL OR e.tick / 3600.0 < a.u)"""
 
 
 _WINDOW_OUT = "SELECT ID, REC, DAY, round(dTIME, 6) AS dTIME, round(dUCA, 6) AS dUCA FROM w"
@@ -394,7 +397,7 @@ FROM fx_study GROUP BY TRT, MAT""", "fx_study"),
         "fx_points"),
     "result_handoff": query("""
 SELECT SIM, TRT, round(quantile_cont(P, 0.5), 10) AS median, round(quantile_cont(P, 0.05), 10) AS lo90,
-  round(quantile_cont(P, 0.95), 10) AS hi90, count(P) AS n FROM fx_sim WHERE SIM > 10 GROUP BY SIM, TRT""", "fx_sim"),
+  round(quantile_cont(P, 0.95), 10) AS hi90, count(P) AS n FROM fx_sim GROUP BY SIM, TRT""", "fx_sim"),
     "time_grid": query("""
 SELECT ID, k * 0.5::DOUBLE AS time, 0.0::DOUBLE AS amt, 0::BIGINT AS evid, 0::BIGINT AS rate, 1::BIGINT AS cmt
 FROM fx_subject CROSS JOIN range(97) g(k)""", "fx_subject"),
@@ -445,7 +448,8 @@ FROM obs WHERE TIMEEND IS NOT NULL""", "obs"),
     "group_scalars": query("""
 SELECT ID_ORIG, SAMPLE, min(DATST) OVER (PARTITION BY ID_ORIG) AS first_start, round(GFR_0, 9) AS GFR_0, round(P_0, 9) AS P_0 FROM obs""", "obs"),
     "sort_events": query(f"""
-SELECT {event_sql(['ID', 'time', 'amt', 'cmt', 'SAMPLE', 'evid'])} FROM event_table""", "event_table"),
+SELECT {event_sql(['ID', 'time', 'amt', 'cmt', 'SAMPLE', 'evid', 'pair'])} FROM (SELECT *, row_number() OVER (
+  PARTITION BY ID ORDER BY time NULLS LAST, amt DESC NULLS LAST, cmt NULLS LAST, SAMPLE NULLS LAST, evid NULLS FIRST) AS pair FROM event_table)""", "event_table"),
     "union_rows": query("""
 SELECT ID, TRT, time, CALAMT, NULL::DOUBLE AS P_PRED FROM fx_obs UNION ALL SELECT ID_ORIG, NULL, time, NULL, round(P_PRED, 10) FROM fx_pred""", "fx_pred"),
     "arm_summary": query(
@@ -459,13 +463,13 @@ UNION ALL
 SELECT ID::BIGINT, k * 0.5::DOUBLE, 0.0::DOUBLE, 0::BIGINT, 0::BIGINT, 1::BIGINT FROM (SELECT DISTINCT ID FROM obs) CROSS JOIN range(97) g(k)""", "event_table"),
     "attach_attributes": query("""
 SELECT k.ID::BIGINT AS ID, k.ID_ORIG, k.TRT, k.SIM::BIGINT AS SIM, round(P_0, 10) AS P_0, round(GFR_0, 10) AS GFR_0
-FROM keys k JOIN attrs a USING (ID_ORIG)""", "obs", keys=_KEYS, attrs=_ATTRS),
+FROM keys k JOIN attrs a USING (ID_ORIG)""", "obs", keys=_keys(NSIM), attrs=_ATTRS),
     "merge_by_subject": query("""
 SELECT a.ID::BIGINT AS ID, round(P_0, 10) AS P_0, wt FROM attrs a JOIN fx_subject s ON s.ID + 1 = a.ID""", "obs", "fx_subject", attrs=_ATTRS),
     "label_simulated": query(f"""
 SELECT k.SIM::BIGINT AS SIM, k.TRT, k.ID_ORIG, count(*) AS n, round(sum(P), 6) AS sum_p
-FROM fx_sim s JOIN keys k ON k.ID = (s.SIM - 1) * (SELECT count(DISTINCT ID) FROM obs) + s.ID + 1 AND s.SIM <= {NSIM}
-GROUP BY 1, 2, 3""", "obs", "fx_sim", keys=_KEYS),
+FROM fx_sim s JOIN keys k ON k.ID = (s.SIM - 1) * (SELECT count(DISTINCT ID) FROM obs) + s.ID + 1
+GROUP BY 1, 2, 3""", "obs", "fx_sim", keys=_keys(fx.REPLICATES)),
     "override_scenarios": query("""
 SELECT ID::BIGINT AS ID, TRT, scenario,
   round(CASE scenario WHEN 'common_p0' THEN 33.32 WHEN 'own_p0' THEN P_0 WHEN 'own_both_emax' THEN P_0 END, 10) AS P_0,
@@ -485,9 +489,9 @@ FROM ws s JOIN (SELECT *, round(dTIME * 3600) AS sec FROM wi QUALIFY row_number(
                                          w=_window_sql(">=")),
     "collection_window_strict": query(_WINDOW_OUT, "fx_event", starts=_STARTS, w=_window_sql(">")),
     "zip_columns": query("""
-SELECT p.ID_ORIG, p.SAMPLE, u.SAMPLE AS U_SAMPLE, round(p.CALAMT, 10) AS CALAMT, round(u.CALAMT, 10) AS U_CALAMT
+SELECT coalesce(p.ID_ORIG, u.ID_ORIG) AS ID_ORIG, p.SAMPLE, u.SAMPLE AS U_SAMPLE, round(p.CALAMT, 10) AS CALAMT, round(u.CALAMT, 10) AS U_CALAMT
 FROM (SELECT *, row_number() OVER (PARTITION BY ID_ORIG ORDER BY SAMPLE) AS k FROM obs WHERE MAT = 'Plasma') p
-JOIN (SELECT *, row_number() OVER (PARTITION BY ID_ORIG ORDER BY SAMPLE) AS k FROM obs WHERE MAT = 'Urine') u
+FULL JOIN (SELECT *, row_number() OVER (PARTITION BY ID_ORIG ORDER BY SAMPLE) AS k FROM obs WHERE MAT = 'Urine') u
   ON u.ID_ORIG = p.ID_ORIG AND u.k = p.k""", "obs"),
     "paired_difference": query("""
 SELECT s.ID::BIGINT AS ID, s.k::BIGINT AS pair, round(e.CALAMT * 2 - s.CALAMT, 10) AS dUCA, round(e.TIMEEND - s.time, 10) AS dTIME, round(e.CALAMT, 10) AS CALAMT

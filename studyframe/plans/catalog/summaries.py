@@ -9,8 +9,7 @@ from studyframe.operators.quantiles import exact_quantiles
 from studyframe.plans.catalog.reference_sql import query
 from studyframe.sources import fixtures as fx
 
-# the fixture clock runs to 48 h, so the last bin is stretched to it
-CUTS = [*vpc.TIME_CUTS[:-1], 48]
+CUTS = vpc.TIME_CUTS
 
 
 def rounded(df, keys, digits=10):
@@ -64,7 +63,7 @@ def sim_percentiles(spark, d):
 
 
 def long_reshape(spark, d):
-    sim = fx.simulated(spark, d, 4)
+    sim = fx.simulated(spark, d)
     long = (sim.select("SIM", "OBS", F.col("P").alias("calcium"), F.col("time").alias("clock"))
             .unpivot(["SIM", "OBS"], ["calcium", "clock"], "analyte", "value"))
     return long.select("SIM", "OBS", "analyte", F.round("value", 6).alias("value"))
@@ -129,9 +128,7 @@ QUERIES = {
 }
 
 _BIN = """CASE WHEN time < 2 THEN 1 WHEN time < 5 THEN 2 WHEN time < 8 THEN 3 WHEN time < 12 THEN 4
-  WHEN time < 26 THEN 5 WHEN time < 29 THEN 6 WHEN time < 32 THEN 7 WHEN time <= 48 THEN 8 END::BIGINT"""
-_BIN35 = """CASE WHEN time < 2 THEN 1 WHEN time < 5 THEN 2 WHEN time < 8 THEN 3 WHEN time < 12 THEN 4
-  WHEN time < 26 THEN 5 WHEN time < 29 THEN 6 WHEN time < 32 THEN 7 WHEN time <= 35 THEN 8 ELSE 9 END"""
+  WHEN time < 26 THEN 5 WHEN time < 29 THEN 6 WHEN time < 32 THEN 7 WHEN time < 35 THEN 8 ELSE 9 END::BIGINT"""
 
 
 def _three(value: str) -> str:
@@ -180,8 +177,8 @@ SELECT SIM, time, analyte, {_ROUND_THREE} FROM (SELECT SIM, time, analyte, {_thr
   SELECT SIM, time, 'Caffeine' AS analyte, P AS v FROM fx_sim UNION ALL SELECT SIM, time, 'Paraxanthine', P / 2 + time FROM fx_sim)
 GROUP BY SIM, time, analyte)""", "fx_sim"),
     "long_reshape": query("""
-SELECT SIM, OBS, 'calcium' AS analyte, round(P, 6) AS value FROM fx_sim WHERE SIM <= 4
-UNION ALL SELECT SIM, OBS, 'clock', round(time, 6) FROM fx_sim WHERE SIM <= 4""", "fx_sim"),
+SELECT SIM, OBS, 'calcium' AS analyte, round(P, 6) AS value FROM fx_sim
+UNION ALL SELECT SIM, OBS, 'clock', round(time, 6) FROM fx_sim""", "fx_sim"),
     "count_by_arm": query(
         "SELECT TRT, count(*) AS n_rows, count(DISTINCT ID) AS n_subjects FROM fx_obs GROUP BY TRT",
         "fx_obs"),
@@ -189,7 +186,7 @@ UNION ALL SELECT SIM, OBS, 'clock', round(time, 6) FROM fx_sim WHERE SIM <= 4"""
 SELECT round(avg(P), 6) AS mean_P, round(avg(tick), 6) AS mean_tick FROM fx_sim WHERE time = 12.5""", "fx_sim"),
     "bin_means": query(f"""
 SELECT OBS, round(m, 6) AS bin_mean, round(CASE WHEN m = 0 THEN 0 ELSE round(m / power(10, floor(log10(m)) - 2)) * power(10, floor(log10(m)) - 2) END, 6) AS label
-FROM (SELECT OBS, avg(time) OVER (PARTITION BY {_BIN35}) AS m FROM fx_obs)""", "fx_obs"),
+FROM (SELECT OBS, avg(time) OVER (PARTITION BY {_BIN}) AS m FROM fx_obs)""", "fx_obs"),
     "nearest_to_half": query("""
 SELECT dataset, Conc, round(Eff, 6) AS Eff FROM fx_points
 QUALIFY abs(Eff - 50) = min(abs(Eff - 50)) OVER (PARTITION BY dataset)""", "fx_points"),

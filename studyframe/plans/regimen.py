@@ -1,60 +1,4 @@
-"""Regimen simulation with the linear models, from subject ids to percentile tables."""
+"""Fixed sampling times of the published regimens."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from studyframe.functions.kernel import LinearModel, with_rates
-from studyframe.functions.models import ANALYTES
-from studyframe.functions.responses import exponential_error, proportional_error
-from studyframe.operators import grids, population
-from studyframe.operators.superpose import regimen_response
-from studyframe.operators.vpc import sim_percentiles
-
-# Sampling times (h) and doses (mg) of the simulated studies.
-ORAL_TIMES = [0, 0.5, 1, 1.5, 2, 4, 6, 8, 10, 24, 144, 168, 192]
+# Sampling times (h).
 SHORT_TIMES = [0, 0.5, 1, 1.5, 2, 4, 6, 8, 10, 24]
-ORAL_DOSE, GUM_DOSE = 100.0, 800.0
-SUBJECTS_PER_STUDY = 30
-
-
-def observed_concentrations(amounts: DataFrame, model: LinearModel) -> DataFrame:
-    """Predicted (IPRE..) and observed (DV..) concentrations of every measured analyte."""
-    volumes = {"CENT": "V1", **{m: v for m, (_, _, v) in model.metabolites.items()}}
-    out = amounts
-    for i, (compartment, volume) in enumerate(volumes.items(), start=1):
-        code = ANALYTES[compartment]
-        pred, eps = F.col(compartment) / F.col(volume), F.col(f"EPS{i}")
-        out = out.withColumns({
-            f"IPRE{code}": pred,
-            f"DV{code}": exponential_error(pred, eps) if model.exponential_residual
-            else proportional_error(pred, eps, model.lloq)})
-    return out
-
-
-def simulate_regimen(ids: DataFrame, model: LinearModel, times: list[float],
-                     dose_times: list[float], dose: float, per_sim: int = SUBJECTS_PER_STUDY,
-                     cmt: int = 1, empty: bool = False, seed: int = 123456) -> DataFrame:
-    """Rows of the simulated studies. Narrow from end to end: every subject draws its own
-    effects from its id, and all share the short dose list."""
-    people = population.draw_etas(ids.select("ID"), "ID", model, seed)
-    people = population.initial_amounts(population.individual_params(people, model), model, empty)
-    people = with_rates(people, model)
-    rows = grids.regimen_grid(people, times, dose_times, dose, cmt, per_sim)
-    rows = population.draw_eps(rows, ["ID", "time"], model, seed + 1)
-    amounts = regimen_response(rows, model, dose_times, dose,
-                               {c: f"{c}_0" for c in model.initial})
-    return observed_concentrations(amounts, model)
-
-
-def regimen_percentiles(output: DataFrame, model: LinearModel,
-                        per_sim: int = SUBJECTS_PER_STUDY) -> DataFrame:
-    """Median, 5% and 95% per replicate, time and analyte.
-
-    A replicate holds ``per_sim`` subjects and every subject one row per time, which is
-    the size of a percentile group.
-    """
-    names = {"CA": "Caffeine", "PX": "Paraxanthine", "TP": "Theophylline", "TB": "Theobromine"}
-    analytes = {names[c]: f"DV{c}" for c in model.sigma}
-    return sim_percentiles(output, {a: c for a, c in analytes.items()}, group_rows=per_sim)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,9 +29,17 @@ def build_session(app: str = "studyframe", **settings: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (local tests)."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Without one, a session whose executors are its own process (local tests) gets a temporary
+    folder; on a cluster that is an error, since other machines could not see such a folder.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or tempfile.mkdtemp(prefix="studyframe-")
+    if named:
+        return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="studyframe-")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

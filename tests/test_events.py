@@ -97,7 +97,7 @@ def test_fixture_row_count(spark):
 def clocked(spark):
     raw = [(1, 0.5, 0, 1.0), (1, 1.0, 1, 2.0), (1, 3.0, 0, 5.0), (1, 9.0, 1, 8.0),
            (1, 9.5, 0, 9.0), (1, 20.0, 1, 11.0), (1, 30.0, 0, 12.0), (2, 1.0, 1, 1.0),
-           (2, 2.0, 0, 2.0)]
+           (2, 2.0, 0, 2.0), *[(3, float(k), k % 2, 1.0 * k) for k in range(1, 11)]]
     return spark.createDataFrame(raw, "ID int, time double, start int, UCA double")
 
 
@@ -108,10 +108,23 @@ def window(df, inclusive):
 
 
 def test_collection_window(clocked):
-    later = [(1, 3.0, 1, 2.0, 3.0), (1, 9.5, 2, 0.5, 1.0), (1, 20.0, 2, 11.0, 3.0),
-             (1, 30.0, 2, 21.0, 4.0)]
-    assert window(clocked, False) == later  # third start ignored, single-start subject dropped
-    assert window(clocked, True) == sorted(later + [(1, 1.0, 1, 0.0, 0.0), (1, 9.0, 2, 0.0, 0.0)])
+    later = [(1, 3.0, 1, 2.0, 3.0), (1, 9.5, 2, 0.5, 1.0), (1, 30.0, 3, 10.0, 1.0),
+             (2, 2.0, 1, 1.0, 1.0), *[(3, 2.0 * k, k, 1.0, 1.0) for k in range(1, 6)]]
+    at_start = [(1, 1.0, 1, 0.0, 0.0), (1, 9.0, 2, 0.0, 0.0), (1, 20.0, 3, 0.0, 0.0), (2, 1.0, 1, 0.0, 0.0),
+                *[(3, 2.0 * k - 1, k, 0.0, 0.0) for k in range(1, 6)]]
+    assert window(clocked, False) == later  # subjects with one start and with five, too
+    assert window(clocked, True) == sorted(later + at_start)
+
+
+def test_columns_of_unequal_tables(spark):
+    a = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c"), (None, 1, "d")], "k int, o int, x string")
+    b = spark.createDataFrame([(1, 1, "p"), (3, 1, "q"), (None, 1, "r")], "k int, p int, y string")
+    pick = lambda how: rows(attach.zip_columns(a, b, ["k"], ["o"], ["p"], how).select("k", "x", "y"), "k", "x")
+    paired = [(None, "d", "r"), (1, "a", "p")]
+    assert pick("drop") == paired
+    assert pick("keep") == [*paired, (1, "b", None), (2, "c", None), (3, None, "q")]
+    with pytest.raises(Exception, match="no partner"):
+        pick("fail")
 
 
 def test_pairs_need_both_sides(spark):

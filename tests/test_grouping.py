@@ -117,7 +117,9 @@ def test_join_on_matches_null_keys(spark):
 def test_bin_codes(spark):
     df = spark.createDataFrame([(v,) for v in (-1.0, 0.0, 1.9, 2.0, 35.0, 36.0, None)], "t double")
     out = df.select("t", vpc.bin_code("t", [0, 2, 5, 35]).alias("b"))
-    assert dict(out.collect()) == {-1.0: 0, 0.0: 1, 1.9: 1, 2.0: 2, 35.0: 3, 36.0: 4, None: None}
+    assert dict(out.collect()) == {-1.0: 0, 0.0: 1, 1.9: 1, 2.0: 2, 35.0: 4, 36.0: 4, None: None}
+    closed = df.filter("t <= 35").select("t", vpc.bin_code("t", [0, 2, 5, 35], closed=True).alias("b"))
+    assert dict(closed.collect()) == {-1.0: 0, 0.0: 1, 1.9: 1, 2.0: 2, 35.0: 3}
 
 
 def test_bands_are_ordered(spark):

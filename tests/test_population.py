@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from studyframe.functions import models
 from studyframe.operators import fitting, population
-from studyframe.plans import regimen
 
 
 def ids(spark, n=4000):
@@ -55,22 +54,6 @@ def test_correlation_needs_matching_shapes(spark):
         population.cholesky([[1.0, 2.0], [2.0, 1.0]])
 
 
-def test_regimen(spark):
-    out = regimen.simulate_regimen(ids(spark, 60), models.ORAL_ABSTINENT, regimen.ORAL_TIMES, [0],
-                                   100.0)
-    assert out.count() == 60 * 13
-    first = out.filter("ID = 5 and time = 0").first()
-    assert first.CENT == pytest.approx(1.72 * math.exp(first.ETA10))
-    assert first.IPRECA == pytest.approx(first.CENT / first.V1)
-    assert first.DVCA == pytest.approx(first.IPRECA * (1 + first.EPS1) + 0.05)
-    table = regimen.regimen_percentiles(out, models.ORAL_ABSTINENT)
-    assert table.count() == 2 * 13 * 2
-    gum = regimen.simulate_regimen(ids(spark, 30), models.GUM, regimen.SHORT_TIMES, [0], 800.0,
-                                   empty=True)
-    empty = gum.filter("time = 0").agg(F.max(F.abs("CENT")), F.max(F.abs("PARA"))).first()
-    assert tuple(empty) == (0.0, 0.0)
-
-
 def test_hill_fit_recovers_the_curve(spark):
     pts = [("d", c, 100 * c ** 1.35 / (26.3 ** 1.35 + c ** 1.35)) for c in (1., 5., 10., 26.3, 60., 200.)]
     out = fitting.fit_hill(spark.createDataFrame(pts, "dataset string, Conc double, Eff double"),
