@@ -257,8 +257,8 @@ def encode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_encoder(shared), f"doc_id {kind}, ids array<int>, decoded string")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """Token counts and hashes of the ids and of the decoded text."""
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """Token counts and hashes of the ids and of the decoded text, and the columns named in ``more``."""
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                           F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-                          F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+                          F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), *more)

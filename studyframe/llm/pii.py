@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studyframe.llm import tokens
-from studyframe.llm.work import handed_off
+from studyframe.llm.work import handed_off, spare
 
 KINDS = ["email", "ip", "card", "phone"]
 #: A pattern needs so many known instances and this confidence; an instance this belief.
@@ -257,14 +257,16 @@ def _redacted(text: str, taken: list[Span]) -> str:
     return "".join(out) + text[at:] if out else text
 
 
-def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces base spans and the spans of column ``_extra``."""
-    for batch in batches:
-        extra = batch.column("_extra").to_pylist()
-        texts = batch.column("text").to_pylist()
-        new = [None if t is None else _redacted(t, sorted([*base_spans(t), *((s["start"], s["kind"], s["stop"]) for s in x or ())])) for t, x in zip(texts, extra, strict=True)]
-        rest = batch.drop_columns(["_extra"])
-        yield rest.set_column(rest.schema.get_field_index("text"), "text", pa.array(new, pa.string()))
+def _redactor(added: str):
+    def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Replaces base spans and the spans of the column ``added``."""
+        for batch in batches:
+            extra = batch.column(added).to_pylist()
+            texts = batch.column("text").to_pylist()
+            new = [None if t is None else _redacted(t, sorted([*base_spans(t), *((s["start"], s["kind"], s["stop"]) for s in x or ())])) for t, x in zip(texts, extra, strict=True)]
+            rest = batch.drop_columns([added])
+            yield rest.set_column(rest.schema.get_field_index("text"), "text", pa.array(new, pa.string()))
+    return redact
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -273,14 +275,15 @@ def redact(docs: DataFrame) -> DataFrame:
     Added spans depend on the text alone, so they are found again by its hash; where the corpus has none, no join is made.
     """
     _, known = find(docs)
-    none = F.lit(None).cast("array<struct<start:int,kind:int,stop:int>>")
+    added, digest = spare(docs, "_added"), spare(docs, "_digest")
     if known is None:
-        return docs.withColumn("_extra", none).mapInArrow(_redact, docs.schema)
-    texts = docs.select("text").mapInArrow(_with_likes, "digest string, kind int, value string, start int, stop int")
-    extra = (texts.join(known, ["kind", "value"], "left_semi").dropDuplicates(["digest", "start"])
-             .groupBy("digest").agg(F.collect_list(F.struct("start", "kind", "stop")).alias("_extra")))
-    return (docs.withColumn("_digest", F.sha1("text")).join(extra, F.col("_digest") == F.col("digest"), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_extra")
-            .mapInArrow(_redact, docs.schema))
+        full = docs.withColumn(added, F.lit(None).cast("array<struct<start:int,kind:int,stop:int>>"))
+    else:
+        texts = docs.select("text").mapInArrow(_with_likes, "digest string, kind int, value string, start int, stop int")
+        extra = (texts.join(known, ["kind", "value"], "left_semi").dropDuplicates(["digest", "start"])
+                 .groupBy("digest").agg(F.collect_list(F.struct("start", "kind", "stop")).alias(added)).withColumnRenamed("digest", digest))
+        full = docs.withColumn(digest, F.sha1("text")).join(extra, digest, "left").drop(digest)
+    return full.select(*[F.col(f"`{c}`") for c in docs.columns], added).mapInArrow(_redactor(added), docs.schema)
 
 
 def _with_likes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
