@@ -7,9 +7,9 @@ empty the rank bound is doubled. Two sets agree in a coordinate with the probabi
 their counts).
 
 Joining. ROWS coordinates make a band, BANDS bands a document; a pair at 0.8 is missed with probability (1 - 0.8^6)^42 < 3e-6. Exact copies are one node
-by their digest. Within a bucket every node is compared with the bucket's least node, which joins a group of any size in one step; in buckets that still hold
-several classes, the nodes of different classes are compared, too, so that no link between classes is lost and no group is ever expanded into its pairs. Links are
-verified on the shingle sets. Classes are the connected components.
+by their digest. Within a bucket every node is compared with the bucket's leader, which joins a group of any size in one step. Buckets that still hold
+several classes are compared across classes, so that no link between classes is lost: small buckets pair by pair, larger ones by a prefix join on rare shingles, so
+that no group is expanded into its pairs. Links are verified on the shingle sets. Classes are the connected components.
 
 Words are white-space words, A-Z in lower case. Cases: null counts as the empty text; all empty texts are copies of each other; texts under five words have no shingles and only exact copies;
 repeated rows and tied ids each give a row; an empty table gives no rows; other columns are ignored or passed on.
@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 
 from studyframe.llm import tokens
 from studyframe.llm.components import components
-from studyframe.llm.work import handed_off
+from studyframe.llm.work import handed_off, spare
 
 WIDTH, LEAST = 5, 0.8
 ROWS, BANDS = 6, 42
 K = ROWS * BANDS
 #: Nodes that may be broadcast to pick their texts; beyond it they are joined.
 BROADCAST_ROWS = 1_000_000
+#: Buckets of more nodes are compared across classes by prefixes.
+PAIRED = 24
 _CELLS = 400_000
 _EMPTY = np.uint64(2**64 - 1)
 _U = np.uint64
@@ -142,16 +144,49 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .mapInArrow(_verify, "a string, b string, similarity double"))
 
 
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            own = np.frombuffer(batch.column("members")[i].as_py(), np.int64)
+            take = pa.array(np.full(len(own), i))
+            yield pa.record_batch([batch.column("node").take(take), batch.column("class").take(take), pa.array(np.full(len(own), len(own), np.int32)), pa.array(own)],
+                                  ["node", "class", "size", "shingle"])
+
+
+def _by_prefix(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): pairs of nodes of different classes that can have the wanted similarity, for groups too large to compare pair by pair.
+
+    Each set is ordered by how many sets have a shingle, rare ones first. Two sets at the threshold share a shingle among the first fifth of both; and where
+    they do, what is left behind it in both must still be enough. A copy with too many edits of its own begins with shingles that no other has, so it
+    meets nobody.
+    """
+    full = nodes.join(sets, "node").select("node", "class", "members").mapInArrow(_explode, "node long, class string, size int, shingle long")
+    full = handed_off(full, "shingles")
+    often = full.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
+    # a shingle of its own counts for the order only by its number
+    ordered = (full.join(often, "shingle").groupBy("node", "class", "size").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("order"))
+               .withColumn("alone", F.col("size") - F.size("order")))
+    first = F.floor(F.col("size") * (1 - LEAST) + 1e-9) + 1 - F.col("alone")
+    prefix = (ordered.filter(first > 0).select("node", "class", "size", "alone", F.posexplode(F.slice("order", F.lit(1), first.cast("int"))).alias("at", "x"))
+              .select("node", "class", "size", (F.col("size") - F.col("alone") - F.col("at")).alias("left"), F.col("x.shingle").alias("shingle")))
+    prefix = handed_off(prefix, "prefixes")
+    other = prefix.select("shingle", *[F.col(c).alias(f"_{c}") for c in ("node", "class", "size", "left")])
+    enough = F.least("left", "_left") >= F.ceil((F.col("size") + F.col("_size")) * (LEAST / (1 + LEAST)) - 1e-9)
+    return (prefix.join(other, "shingle").filter((F.col("class") < F.col("_class")) & enough)
+            .select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct())
+
+
 def links(docs: DataFrame) -> DataFrame:
     """(a, b, similarity): verified links between different texts, by digest. They join each class; pairs within a joined group aren't all listed."""
     nodes = _nodes(docs)
-    rows = nodes.select("node", "text").mapInArrow(_bands, "bucket long, node long")
-    bounds = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("bucket", "low")
-    # only buckets with more than one text go on
-    shared = handed_off(rows.join(bounds, "bucket").select("bucket", "low", "node").distinct(), "buckets")
-    star = handed_off(shared.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    wanted = star.select(F.col("a").alias("node")).unionAll(star.select("b")).distinct()
-    wanted = handed_off(wanted, "wanted")
+    rows = nodes.select("node", "text").mapInArrow(_bands, "bucket long, node long").withColumn("turned", F.col("node").bitwiseXOR(F.xxhash64("bucket")))
+    bounds = rows.groupBy("bucket").agg(F.min("turned").alias("low"), F.max("turned").alias("high")).filter("low <> high").select("bucket", "low")
+    # only buckets with more than one text go on; each has a leader of its own, so a group isn't led by one odd copy in all its buckets
+    shared = rows.join(bounds, "bucket").select("bucket", F.col("low").bitwiseXOR(F.xxhash64("bucket")).alias("leader"), "node").distinct()
+    shared = handed_off(shared, "buckets")
+    pair = F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")
+    star = handed_off(shared.filter("node <> leader").select(*pair).distinct(), "stars")
+    wanted = handed_off(shared.select("node").distinct(), "wanted")
     picked = nodes.select("node", "digest", "text").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "node", "left_semi")
     sets = picked.mapInArrow(_sets, "node long, digest string, members binary")
     sets = handed_off(sets.groupBy("node", "digest").agg(F.min("members").alias("members")), "sets")
@@ -160,11 +195,14 @@ def links(docs: DataFrame) -> DataFrame:
     roots = components(first.select("a", "b"))
     classes = names.join(roots, names["digest"] == roots["vertex"], "left").groupBy("node").agg(F.min(F.coalesce("root", "digest")).alias("class"))
     placed = shared.join(classes, "node")
-    mixed = placed.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("bucket")
-    left = handed_off(placed.join(mixed, "bucket", "left_semi").select("bucket", "node", "class"), "mixed")
-    other = left.select("bucket", F.col("node").alias("b"), F.col("class").alias("class_b"))
-    across = (left.withColumnRenamed("node", "a").join(other, "bucket").filter("class < class_b")
-              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
+    mixed = placed.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("n")).filter("x <> y").select("bucket", "n")
+    left = handed_off(placed.join(mixed, "bucket").select("bucket", "node", "class", "n"), "mixed")
+    few = left.filter(F.col("n") <= PAIRED)
+    other = few.select("bucket", F.col("node").alias("b"), F.col("class").alias("class_b"))
+    across = (few.withColumnRenamed("node", "a").join(other, "bucket").filter("class < class_b")
+              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    many = left.filter(F.col("n") > PAIRED).select("node", "class").distinct()
+    across = across.unionAll(_by_prefix(many, sets)).distinct().join(star, ["a", "b"], "left_anti")
     return first.unionAll(handed_off(_links(across, sets), "links"))
 
 
@@ -183,17 +221,18 @@ def classes(docs: DataFrame) -> DataFrame:
 def kept(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the least id, with the columns the documents came with."""
     found = handed_off(classes(docs), "classes")
+    digest, an_id, least = (spare(docs, x) for x in ("_digest", "_id", "_least"))
     stays = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    # of several texts under the class's least id, the least digest stays
-    many = found.filter(stays).groupBy("class_id").agg(F.min("digest").alias("least"), F.max("digest").alias("most"), F.count("*").alias("n"))
-    many = handed_off(many.filter("least <> most or n > 1"), "twins")
-    gone = found.filter(~stays).select("doc_id", "digest").distinct()
-    columns = [F.col(f"d.`{c}`") for c in docs.columns]
-    full = docs.withColumn("_digest", F.md5(F.coalesce("text", F.lit("")))).alias("d")
-    left = full.join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("_digest") == F.col("g.digest")), "left_anti")
+    gone = found.filter(~stays).select(F.col("doc_id").alias(an_id), F.col("digest").alias(least)).distinct()
+    # if several rows have the least id of their class, one with the least digest stays
+    many = found.filter(stays).groupBy(F.col("class_id").alias(an_id)).agg(F.min("digest").alias(least), F.count("*").alias("n")).filter("n > 1").drop("n")
+    many = handed_off(many, "twins")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    full = docs.withColumn(digest, F.md5(F.coalesce("text", F.lit(""))))
+    same_id, same_text = F.col("doc_id").eqNullSafe(F.col(an_id)), F.col(digest) == F.col(least)
+    left = full.join(gone, same_id & same_text, "left_anti")
     if many.isEmpty():
         return left.select(*columns)
-    single = left.join(many.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.class_id")), "left_anti")
-    of_many = (left.join(many.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.class_id")) & (F.col("_digest") == F.col("m.least")))
-               .select(*columns).dropDuplicates(["doc_id"]))
-    return single.select(*columns).unionAll(of_many)
+    single = left.join(many, same_id, "left_anti")
+    of_many = left.join(many, same_id & same_text).dropDuplicates(["doc_id"])
+    return single.select(*columns).unionAll(of_many.select(*columns))

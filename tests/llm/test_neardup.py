@@ -69,7 +69,9 @@ def planted():
     return docs
 
 
-def test_classes_equal_all_pairs(spark, planted):
+@pytest.mark.parametrize("paired", [24, 0])
+def test_classes_equal_all_pairs(spark, planted, monkeypatch, paired):
+    monkeypatch.setattr(neardup, "PAIRED", paired)
     frame = spark.createDataFrame([(i, t, "x") for i, t in planted], "doc_id long, text string, node string")
     got = neardup.classes(frame).collect()
     assert sorted([(r["doc_id"], r["class_id"]) for r in got], key=str) == brute(planted)
