@@ -32,6 +32,8 @@ from studyframe.llm import tokens
 
 #: Tokens a task reduces at a time.
 FLUSH = 2_500_000
+#: Text of a shard, and the most bits of a word's hash that may choose it: beyond 4 ** 7 shards they grow.
+SHARD_CHARS, MAX_BITS = 16_000_000, 7
 #: Bits of a word's place among those of a flush.
 _PLACE = 24
 _U = np.uint64
@@ -261,12 +263,13 @@ def _joined(totals: dict):
 def score(docs: DataFrame, held_out: Column, bits: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document, learning from those that aren't held out.
 
-    ``bits``: leading bits of each word's hash that choose the shard, so 4 ** bits shards; by default about two shards for each input partition.
+    ``bits``: leading bits of each word's hash that choose the shard, so 4 ** bits shards; by default as many as hold SHARD_CHARS of text each, with MAX_BITS at most.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held")).rdd
     if bits is None:
-        bits = min(7, max(1, (2 * rows.getNumPartitions() - 1).bit_length() + 1 >> 1))
+        chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+        bits = min(MAX_BITS, (int(chars // SHARD_CHARS).bit_length() + 1) // 2)
     shards = 4 ** bits
     blocks = rows.mapPartitionsWithIndex(_emit(bits, shards)).partitionBy(shards, _key)
     answers = blocks.mapPartitions(_counts(bits)).groupByKey(min(shards, 2 * 2 ** bits + 1)).mapPartitions(_added)
