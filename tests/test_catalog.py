@@ -6,7 +6,9 @@ from conftest import SF_DIR
 
 import __spark_entry__ as entry
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+from studyframe.plans import catalog
+
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 LONG = {"plasma_check", "plasma_check_observed", "urine_check"}  # minutes each; run by the entry's own checks
 
 
@@ -28,6 +30,7 @@ def test_runs(spark, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries()) >= set(QUERIES)
 
 
 def test_entry(spark):
