@@ -127,8 +127,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
     """(doc_id, start, stop, n_words): the words of each document that lie in runs of ``length`` words which another document has, as maximal spans."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text")
+    nobody = F.lit({"bigint": -(1 << 62), "int": -(1 << 31)}.get(kind, "")).cast(kind)  # stands for null ids
     rows = texts.mapInArrow(_suffixes(length, seed), f"doc_id {kind}, low int, high int, seed long, region long")
-    rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 62)).cast(kind)))
+    rows = rows.withColumn("doc_id", F.coalesce("doc_id", nobody))
     likely = handed_off(rows.join(_shared(rows, "seed").select("seed"), "seed"), "suffixes")
     equal = handed_off(_shared(likely, "region"), "regions")
     whole = likely.join(equal.select("region"), "region").select("doc_id", "low", (F.col("high") + length).alias("stop"))
@@ -140,7 +141,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
     edges = sides.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("low", "high", "other"))).alias("parts"))
     edges = handed_off(edges, "edges")
     # a null id stays null here, so it is turned the same way before the join
-    keyed = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 62)).cast(kind)))
+    keyed = texts.withColumn("doc_id", F.coalesce("doc_id", nobody))
     few = edges.count() <= BROADCAST_ROWS
     near = keyed.join(F.broadcast(edges.select("doc_id")) if few else edges.select("doc_id"), "doc_id", "left_semi")
     runs = near.join(edges, "doc_id").mapInArrow(_runs(length), f"doc_id {kind}, other {kind}, low int, run long")
@@ -148,6 +149,6 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
     parts = runs.filter("other is null").join(_shared(runs, "run").select("run"), "run").select("doc_id", "low", (F.col("low") + length).alias("stop"))
     spans = whole.unionAll(parts).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("low", "stop"))).alias("parts"))
     found = spans.select("doc_id", F.explode(_merged(F.col("parts"))).alias("span"))
-    own = F.when(F.col("doc_id") != F.lit(-(1 << 62)).cast(kind), F.col("doc_id"))
+    own = F.when(F.col("doc_id") != nobody, F.col("doc_id"))
     return found.select(own.alias("doc_id"), F.col("span.low").cast("long").alias("start"), F.col("span.stop").cast("long").alias("stop"),
                         (F.col("span.stop") - F.col("span.low")).cast("long").alias("n_words"))
