@@ -11,6 +11,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -39,7 +40,8 @@ def byte_letters() -> list[str]:
     return [chr(b if b in shows else 0x100 + hidden.index(b)) for b in range(256)]
 
 
-Run = tuple[tuple[int, ...], str]
+#: Ids of a run as 32-bit numbers in a byte string, and its token texts.
+Run = tuple[bytes, str]
 
 
 class Vocabulary:
@@ -51,7 +53,8 @@ class Vocabulary:
         self.ids: dict[str, int] = dict(model["vocab"])
         self.end = model["end_of_word_suffix"] or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.added.items()}
+        names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.added.items()}
+        self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
@@ -119,8 +122,8 @@ class Vocabulary:
     def encode_run(self, run: str) -> Run:
         letters = [self.letters[b] for b in run.encode()]
         letters[-1] += self.end
-        ids = tuple(self.merged([self.ids[x] for x in letters]))
-        return ids, " ".join([self.names[i] for i in ids])
+        ids = self.merged([self.ids[x] for x in letters])
+        return np.array(ids, np.int32).tobytes(), self.decode(ids)
 
     def _keys(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Tree entries of adjacent pairs: merge rank, then place."""
@@ -176,10 +179,10 @@ class Vocabulary:
             low = width
             if len(mine):
                 ids, counts = self._merged_together(np.frombuffer(b"".join([parts[m] for m in mine]), np.uint8), sizes[mine], width)
-                ids, at = ids.tolist(), 0
+                packed, at = ids.astype(np.int32).tobytes(), 0
+                shown = [self.names[i] for i in ids.tolist()]
                 for m, n in zip(mine.tolist(), counts.tolist(), strict=True):
-                    own = tuple(ids[at:at + n])
-                    out[m] = own, " ".join([self.names[i] for i in own])
+                    out[m] = packed[4 * at:4 * (at + n)], " ".join(shown[at:at + n])
                     at += n
         return [self.encode_run(runs[k]) if x is None else x for k, x in enumerate(out)]
 
@@ -205,7 +208,7 @@ class Vocabulary:
             runs = [self._runs(t) for t in texts[at:end]]
             new = set(chain.from_iterable(runs)).difference(self.store)
             fresh = {x: self.older[x] for x in new.intersection(self.older)}
-            fresh |= {x: ((self.added[x],), x) for x in new.intersection(self.added)}
+            fresh |= {x: (np.int32(self.added[x]).tobytes(), x) for x in new.intersection(self.added)}
             rest = sorted(new.difference(fresh))
             self.store |= fresh
             self.store.update(zip(rest, self.encode_runs(rest), strict=True))
@@ -235,15 +238,14 @@ def _encoder(shared):
             _last.clear()
             _last[shared.value] = Vocabulary(shared.value)
         vocabulary = _last[shared.value]
+        gc.disable()  # millions of small lasting objects and no cycles: looking for some takes a fifth of the time
         for batch in batches:
             ids, decoded = [], []
             for runs in vocabulary.encode_all([t or "" for t in batch.column("text").to_pylist()]):
-                ids.append(pa.array(chain.from_iterable([r[0] for r in runs]), pa.int32(), size=sum([len(r[0]) for r in runs])))
+                ids.append(b"".join([r[0] for r in runs]))
                 decoded.append(" ".join([r[1] for r in runs]))
-            sizes = [0]
-            for x in ids:
-                sizes.append(sizes[-1] + len(x))
-            flat = pa.concat_arrays(ids) if ids else pa.array([], pa.int32())
+            sizes = np.cumsum([0, *[len(x) // 4 for x in ids]])
+            flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
             yield pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat), pa.array(decoded, pa.string())],
                                   ["doc_id", "ids", "decoded"])
     return encode

@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,7 +14,7 @@ LIBRARY = Tokenizer.from_file(PATH)
 
 
 def ids(text):
-    return [i for run in OWN.encode(text) for i in run[0]]
+    return [int(i) for run in OWN.encode(text) for i in np.frombuffer(run[0], np.int32)]
 
 
 def test_documents_equal_the_library(spark):
