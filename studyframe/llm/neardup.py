@@ -170,9 +170,13 @@ def _by_prefix(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     prefix = (ordered.filter(first > 0).select("node", "class", "size", "alone", F.posexplode(F.slice("order", F.lit(1), first.cast("int"))).alias("at", "x"))
               .select("node", "class", "size", (F.col("size") - F.col("alone") - F.col("at")).alias("left"), F.col("x.shingle").alias("shingle")))
     prefix = handed_off(prefix, "prefixes")
-    other = prefix.select("shingle", *[F.col(c).alias(f"_{c}") for c in ("node", "class", "size", "left")])
+    # most nodes of a shingle are of one class and needn't meet each other: one side of the join leaves that class out
+    main = (prefix.groupBy("shingle", "class").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("class", "n").alias("main"), F.count("*").alias("classes"))
+            .filter("classes > 1").select("shingle", "main"))
+    prefix = handed_off(prefix.join(main, "shingle"), "prefixes")
+    other = prefix.filter("class <> main").select("shingle", *[F.col(c).alias(f"_{c}") for c in ("node", "class", "size", "left")])
     enough = F.least("left", "_left") >= F.ceil((F.col("size") + F.col("_size")) * (LEAST / (1 + LEAST)) - 1e-9)
-    return (prefix.join(other, "shingle").filter((F.col("class") < F.col("_class")) & enough)
+    return (prefix.join(other, (prefix["shingle"] == other["shingle"]) & (F.col("class") != F.col("_class")) & enough)
             .select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct())
 
 
