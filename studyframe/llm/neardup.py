@@ -211,7 +211,8 @@ def links(docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, class_size, links): one row per document. class_id is the least id of the class; links counts the verified links of the document's text."""
+    """(doc_id, class_id, class_size, links, digest, root): one row per document. class_id is the least id of the class, which other classes may have, too; root names
+    one class. links counts the verified links of the document's text."""
     found = handed_off(links(docs), "links")
     roots = components(found.select("a", "b"))
     degree = found.select(F.col("a").alias("vertex")).unionAll(found.select("b")).groupBy("vertex").agg(F.count("*").alias("links"))
@@ -219,7 +220,7 @@ def classes(docs: DataFrame) -> DataFrame:
     placed = members.join(roots.join(degree, "vertex", "left"), F.col("digest") == F.col("vertex"), "left")
     placed = placed.select("doc_id", "digest", F.coalesce("root", "digest").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     by_class = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return placed.join(by_class, "root").select("doc_id", "class_id", "class_size", "links", "digest")
+    return placed.join(by_class, "root").select("doc_id", "class_id", "class_size", "links", "digest", "root")
 
 
 def kept(docs: DataFrame) -> DataFrame:
@@ -227,16 +228,19 @@ def kept(docs: DataFrame) -> DataFrame:
     found = handed_off(classes(docs), "classes")
     digest, an_id, least = (spare(docs, x) for x in ("_digest", "_id", "_least"))
     stays = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    gone = found.filter(~stays).select(F.col("doc_id").alias(an_id), F.col("digest").alias(least)).distinct()
-    # if several rows have the least id of their class, one with the least digest stays
-    many = found.filter(stays).groupBy(F.col("class_id").alias(an_id)).agg(F.min("digest").alias(least), F.count("*").alias("n")).filter("n > 1").drop("n")
+    row = F.col("doc_id").alias(an_id), F.col("digest").alias(least)
+    # if several rows have the least id of their class, one with the least digest stays; unlike classes may share an id, so they are told apart by their root
+    many = (found.filter(stays).groupBy("root").agg(F.min("class_id").alias(an_id), F.min("digest").alias(least), F.count("*").alias("n"))
+            .filter("n > 1").drop("n"))
     many = handed_off(many, "twins")
+    beaten = found.filter(stays).join(many.select("root", F.col(least).alias("first")), "root").filter("digest <> first")
+    gone = found.filter(~stays).select(*row).unionAll(beaten.select(*row)).distinct()
     columns = [F.col(f"`{c}`") for c in docs.columns]
     full = docs.withColumn(digest, F.md5(F.coalesce("text", F.lit(""))))
     same_id, same_text = F.col("doc_id").eqNullSafe(F.col(an_id)), F.col(digest) == F.col(least)
     left = full.join(gone, same_id & same_text, "left_anti")
     if many.isEmpty():
         return left.select(*columns)
-    single = left.join(many, same_id, "left_anti")
-    of_many = left.join(many, same_id & same_text).dropDuplicates(["doc_id"])
+    single = left.join(many, same_id & same_text, "left_anti")
+    of_many = left.join(many, same_id & same_text, "left_semi").dropDuplicates(["doc_id", digest])
     return single.select(*columns).unionAll(of_many.select(*columns))

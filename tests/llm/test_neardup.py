@@ -92,3 +92,14 @@ def test_components_of_chains_and_stars(spark):
     edges = [(f"{k:03d}", f"{k + 1:03d}") for k in range(0, 60)] + [("500", f"{k}") for k in range(501, 560)] + [("a", "b"), ("a", "b")]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a string, b string")).collect()))
     assert {got[f"{k:03d}"] for k in range(61)} == {"000"} and {got[str(k)] for k in range(500, 560)} == {"500"} and got["b"] == "a"
+
+
+def test_unlike_classes_of_one_id_are_all_kept(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcdef"]
+    near = texts[4].replace("e29", "x")
+    docs = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, None), (7, texts[2]), (7, texts[3]), (7, texts[2]), (8, texts[4]), (8, near), (8, texts[5]), (9, near)]
+    rows = neardup.kept(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    alone = [(None, texts[0]), (None, texts[1]), (None, None), (7, texts[2]), (7, texts[3]), (8, texts[5])]
+    got = [tuple(r) for r in rows if r["text"] not in (texts[4], near)]
+    assert sorted(got, key=str) == sorted(alone, key=str)
+    assert [r["doc_id"] for r in rows if r["text"] in (texts[4], near)] == [8]
