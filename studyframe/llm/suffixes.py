@@ -2,17 +2,17 @@
 
 Suffixes are kept only at content-selected positions: in every run of LENGTH words the run of SEED words with the least hash is a minimiser, and the suffix that begins there is
 retained, about one for every 18 words. Equal passages of LENGTH words hold the same minimiser, so a suffix whose first SEED words no other document has is out at
-once. Suffixes are ordered by their leading words (as a hash) in Spark's shuffle, where equal neighbours meet as partial minima and maxima of the document id.
+once. Suffixes are ordered by their leading words (as a hash) in Spark's shuffle, where equal neighbours meet as partial minima and maxima of the document's node.
 
 Extension. The runs of LENGTH words that a minimiser was least in form its region, and regions are compared whole, to the left and the right at once: an
 equal region of another document is a repeat. Where only part of a region repeats, at the ends of a passage and around edits, the runs of LENGTH words in it
 are compared one by one. Either way a place is reported exactly if it lies in a run of LENGTH words that another document has, too.
 
-No group is ever gathered: every comparison is a pair of least and greatest id by key, combined before the shuffle, and a join back on the key, which adaptive
+No group is ever gathered: every comparison is a pair of least and greatest node by key, combined before the shuffle, and a join back on the key, which adaptive
 execution splits if one passage is in very many documents.
 
-Words are white-space words, A-Z in lower case; positions count words. Cases: null, empty and shorter texts have no run and no rows; rows with one id are one document (null ids are one, too);
-an empty table gives no rows; other columns are ignored.
+Words are white-space words, A-Z in lower case; positions count words. A document is an id with a text, and its node is the hash of both. Cases: null, empty and shorter texts have no run
+and no rows; repeated rows are one document; different texts under one id, or without an id, are documents of their own, each with rows of its own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,19 +79,21 @@ def regions(h: np.ndarray, row: np.ndarray, length: int = LENGTH, seed: int = SE
 def _suffixes(length: int, seed: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
+            nodes, ids = batch.column("node"), batch.column("doc_id")
             for part in tokens.slices(batch.column("text")):
                 row, a, b, s, r = regions(part.hash, part.row, length, seed)
                 base = np.searchsorted(part.row, row)
-                yield pa.record_batch([ids.take(pa.array(row + part.first)), pa.array((a - base).astype(np.int32)), pa.array((b - base).astype(np.int32)),
-                                       pa.array(s.view(np.int64)), pa.array(r.view(np.int64))], ["doc_id", "low", "high", "seed", "region"])
+                take = pa.array(row + part.first)
+                yield pa.record_batch([nodes.take(take), ids.take(take), pa.array((a - base).astype(np.int32)), pa.array((b - base).astype(np.int32)),
+                                       pa.array(s.view(np.int64)), pa.array(r.view(np.int64))],
+                                      ["node", "doc_id", "low", "high", "seed", "region"])
     return find
 
 
 def _runs(length: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, wanted = batch.column("doc_id"), batch.column("parts")
+            nodes, ids, wanted = batch.column("node"), batch.column("doc_id"), batch.column("parts")
             for part in tokens.slices(batch.column("text")):
                 prefix = Prefix(part.hash)
                 row, first = np.unique(part.row, return_index=True)
@@ -100,14 +102,15 @@ def _runs(length: int):
                     own = np.concatenate([np.arange(x["low"], x["high"] + 1) for x in parts])
                     other = [y for x in parts for y in [x["other"]] * (x["high"] - x["low"] + 1)]
                     run = prefix.of(at + own, at + own + length)
-                    yield pa.record_batch([pa.array([ids[r].as_py()] * len(own), ids.type), pa.array(other, ids.type), pa.array(own.astype(np.int32)), pa.array(run.view(np.int64))],
-                                          ["doc_id", "other", "low", "run"])
+                    take = pa.array(np.full(len(own), r))
+                    yield pa.record_batch([nodes.take(take), ids.take(take), pa.array(other, pa.int64()), pa.array(own.astype(np.int32)), pa.array(run.view(np.int64))],
+                                          ["node", "doc_id", "other", "low", "run"])
     return find
 
 
 def _shared(rows: DataFrame, key: str) -> DataFrame:
-    """Keys that more than one document has. A row with another id beside its own stands for both."""
-    ids = ("doc_id", "other") if "other" in rows.columns else ("doc_id", "doc_id")
+    """Keys that more than one document has. A row with another node beside its own stands for both."""
+    ids = ("node", "other") if "other" in rows.columns else ("node", "node")
     low, high = F.least(*[F.min(i) for i in ids]), F.greatest(*[F.max(i) for i in ids])
     return rows.groupBy(key).agg(low.alias("_a"), high.alias("_b")).filter("_a <> _b")
 
@@ -126,29 +129,24 @@ def _merged(parts: Column) -> Column:
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """(doc_id, start, stop, n_words): the words of each document that lie in runs of ``length`` words which another document has, as maximal spans."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text")
-    nobody = F.lit({"bigint": -(1 << 62), "int": -(1 << 31)}.get(kind, "")).cast(kind)  # stands for null ids
-    rows = texts.mapInArrow(_suffixes(length, seed), f"doc_id {kind}, low int, high int, seed long, region long")
-    rows = rows.withColumn("doc_id", F.coalesce("doc_id", nobody))
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("node"), "doc_id", "text")
+    rows = texts.mapInArrow(_suffixes(length, seed), f"node long, doc_id {kind}, low int, high int, seed long, region long")
     likely = handed_off(rows.join(_shared(rows, "seed").select("seed"), "seed"), "suffixes")
     equal = handed_off(_shared(likely, "region"), "regions")
-    whole = likely.join(equal.select("region"), "region").select("doc_id", "low", (F.col("high") + length).alias("stop"))
-    partial = likely.join(equal.select("region"), "region", "left_anti").withColumn("other", F.lit(None).cast(kind))
+    whole = likely.join(equal.select("region"), "region").select("node", "doc_id", "low", (F.col("high") + length).alias("stop"))
+    partial = likely.join(equal.select("region"), "region", "left_anti").withColumn("other", F.lit(None).cast("long"))
     # a part of a region may repeat a region that is whole elsewhere: one place of each such region takes part in the comparison for two of its documents
-    stands = (likely.join(partial.select("seed").distinct(), "seed", "left_semi").join(equal, "region").filter(F.col("doc_id") == F.col("_a"))
-              .groupBy("region").agg(F.min(F.struct("doc_id", "low", "high", F.col("_b").alias("other"))).alias("x")).select("x.*"))
-    sides = partial.select("doc_id", "low", "high", "other").unionAll(stands)
-    edges = sides.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("low", "high", "other"))).alias("parts"))
+    stands = (likely.join(partial.select("seed").distinct(), "seed", "left_semi").join(equal, "region").filter(F.col("node") == F.col("_a"))
+              .groupBy("region").agg(F.min(F.struct("node", "low", "high", F.col("_b").alias("other"))).alias("x")).select("x.*"))
+    sides = partial.select("node", "low", "high", "other").unionAll(stands)
+    edges = sides.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("low", "high", "other"))).alias("parts"))
     edges = handed_off(edges, "edges")
-    # a null id stays null here, so it is turned the same way before the join
-    keyed = texts.withColumn("doc_id", F.coalesce("doc_id", nobody))
     few = edges.count() <= BROADCAST_ROWS
-    near = keyed.join(F.broadcast(edges.select("doc_id")) if few else edges.select("doc_id"), "doc_id", "left_semi")
-    runs = near.join(edges, "doc_id").mapInArrow(_runs(length), f"doc_id {kind}, other {kind}, low int, run long")
+    near = texts.join(F.broadcast(edges.select("node")) if few else edges.select("node"), "node", "left_semi")
+    runs = near.join(edges, "node").mapInArrow(_runs(length), f"node long, doc_id {kind}, other long, low int, run long")
     runs = handed_off(runs, "runs")
-    parts = runs.filter("other is null").join(_shared(runs, "run").select("run"), "run").select("doc_id", "low", (F.col("low") + length).alias("stop"))
-    spans = whole.unionAll(parts).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("low", "stop"))).alias("parts"))
+    parts = runs.filter("other is null").join(_shared(runs, "run").select("run"), "run").select("node", "doc_id", "low", (F.col("low") + length).alias("stop"))
+    spans = whole.unionAll(parts).groupBy("node", "doc_id").agg(F.sort_array(F.collect_set(F.struct("low", "stop"))).alias("parts"))
     found = spans.select("doc_id", F.explode(_merged(F.col("parts"))).alias("span"))
-    own = F.when(F.col("doc_id") != nobody, F.col("doc_id"))
-    return found.select(own.alias("doc_id"), F.col("span.low").cast("long").alias("start"), F.col("span.stop").cast("long").alias("stop"),
+    return found.select("doc_id", F.col("span.low").cast("long").alias("start"), F.col("span.stop").cast("long").alias("stop"),
                         (F.col("span.stop") - F.col("span.low")).cast("long").alias("n_words"))

@@ -63,3 +63,19 @@ def test_planted_passages_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "BROADCAST_ROWS", 0)
     assert spans(frame, 10, 4) == want
     assert suffixes.repeats(frame.limit(0)).count() == 0
+
+
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    one, two, three = (rng.sample(words, 12) for _ in range(3))
+    docs = []
+    for key, shared in ((None, one), (7, two)):
+        docs += [(key, " ".join(shared)), (key, " ".join(rng.sample(words, 40) + shared + rng.sample(words, 300))), (key, " ".join(rng.sample(words, 11)))]
+    docs += [(8, " ".join(three[:11] + rng.sample(words, 3))), (8, " ".join(rng.sample(words, 200) + three)), (9, " ".join(rng.sample(words, 5) + three)), (9, "short")]
+    keys = [(k, t) for k, (_, t) in enumerate(docs)]
+    want = sorted([(docs[k][0], a, b) for k, a, b in brute(keys, 10)], key=str)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert len(want) >= 7 and spans(frame, 10, 4) == want
+    named = spark.createDataFrame([(i and str(i), t) for i, t in docs], "doc_id string, text string")
+    assert spans(named, 10, 4) == sorted([(i and str(i), a, b) for i, a, b in want], key=str)
