@@ -2,8 +2,9 @@
 
 Items are put into partitions by size: partition u holds those of more than u / 2 and at most u five-word shingles in a row. A long document would drown a short
 item in a plain MinHash, so for each partition the document is seen as windows of 2u shingles, u apart; an item of the partition that occurs in the document
-lies whole in one of them, where its similarity is at least a fifth. Each of the 64 minima is a band of its own, so an item at the containment threshold is missed with
-probability below 1e-5. What collides is verified by exact containment of the item's distinct shingles in the whole document, on the words themselves.
+lies whole in one of them, where its similarity is at least a fifth (0.19 with a fifth of its shingles edited). Each of the 64 minima is a band of its own, so an item at the
+containment threshold is missed with probability below 1e-5. Items of at most WHOLE shingles match only as a whole, so each is looked up by the hash of one of its
+shingles and none is missed. What collides is verified by exact containment of the item's distinct shingles in the whole document, on the words themselves.
 
 Items are the stated query set. They go to the tasks in blocks of bounded size (BLOCK_CHARS of text), one scan of the documents for each block, so nothing
 broadcast grows with the data; documents aren't shuffled.
@@ -26,6 +27,8 @@ from studyframe.llm import tokens
 
 WIDTH, LEAST = 5, 0.8
 MINIMA = 64
+#: Up to so many shingles, 0.8 of them is all of them.
+WHOLE = 4
 #: Characters of item text in a block.
 BLOCK_CHARS = 8 << 20
 _WORD = re.compile("[a-z0-9\x80-\U0010ffff]+")
@@ -38,7 +41,7 @@ def shingle_set(lower_text: str) -> set[str]:
 
 
 class Index:
-    """MinHash minima of a block of items, by size partition."""
+    """MinHash minima of a block of items, by size partition, and one shingle of each of the shortest."""
 
     def __init__(self, items: list[tuple[object, str]]):
         texts = pc.utf8_lower(pa.array([t or "" for _, t in items], pa.large_string()))
@@ -46,11 +49,17 @@ class Index:
         self.sets = [shingle_set(t) for t in texts.to_pylist()]
         self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         by_part: dict[int, list[tuple[int, np.ndarray]]] = {}
+        short: list[tuple[int, int]] = []
         for part in tokens.slices(texts, tokens.BY_LETTERS):
             s, row, _ = tokens.shingles(part.hash, part.row, WIDTH)
             for r in np.unique(row):
                 own = s[row == r]
-                by_part.setdefault(1 << max(3, int(len(own) - 1).bit_length()), []).append((int(r) + part.first, own))
+                if len(own) <= WHOLE:
+                    short.append((int(own.min()), int(r) + part.first))
+                else:
+                    by_part.setdefault(1 << int(len(own) - 1).bit_length(), []).append((int(r) + part.first, own))
+        short.sort()
+        self.short = np.array([h for h, _ in short], np.uint64), np.array([i for _, i in short], np.int64)
         for u, members in by_part.items():
             minima = np.stack([(own[:, None] * _FACTORS).min(0) for _, own in members])
             order = np.argsort(minima, 0)
@@ -66,6 +75,8 @@ class Index:
             if len(s):
                 for u, minima in self.parts.items():
                     found.update((r + part.first, i) for r, i in _collisions(s, row, u, minima))
+                if len(self.short[0]):
+                    found.update((r + part.first, i) for r, i in _holders(s, row, *self.short))
         out, at, own = [], -1, set()
         for r, i in sorted(found):
             if r != at:
@@ -99,6 +110,12 @@ def _collisions(s: np.ndarray, row: np.ndarray, u: int, minima: list[tuple[np.nd
     return out
 
 
+def _holders(s: np.ndarray, row: np.ndarray, values: np.ndarray, numbers: np.ndarray) -> set[tuple[int, int]]:
+    """(row, item) pairs of which the row has the item's shingle."""
+    a, b = np.searchsorted(values, s), np.searchsorted(values, s, "right")
+    return {(int(row[h]), int(i)) for h in np.flatnonzero(a < b) for i in numbers[a[h]:b[h]]}
+
+
 def _blocks(items: DataFrame) -> Iterator[list[tuple[object, str]]]:
     block, size = [], 0
     for r in items.select("item_id", "text").toLocalIterator():

@@ -67,3 +67,13 @@ def test_word_hashes_follow_the_words():
         for (_, h), (_, w) in zip(got, words):
             assert by.setdefault(w, h) == h
         assert len(set(by.values())) == len(by)
+
+
+def test_shortest_items_are_never_missed():
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(100_000)]
+    for n in (5, 6, 7, 8, 9):
+        items = [(i, " ".join(rng.choices(words, k=n))) for i in range(600)]
+        docs = [f"{t} {' '.join(rng.choices(words, k=60))}" if i % 2 else f"{' '.join(rng.choices(words, k=61))} {t} {' '.join(rng.choices(words, k=40))}" for i, t in items]
+        got = decontaminate.Index(items + items[:3]).matches(pa.array(docs))
+        assert {(r, i) for r, i, _ in got} == {(k, k) for k in range(600)} | {(k, 600 + k) for k in range(3)}
