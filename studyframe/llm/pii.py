@@ -2,10 +2,11 @@
 
 1. One scan finds the base spans of each whole text and, for each kind, look-alikes that the base doesn't take (a number that fails its check, an address without a
    dot, a phone number without a plus). Each comes with the word contexts before it.
-2. The base values are the seed instances. A pattern is a context of one or two words; a second scan counts how often it occurs in the whole corpus. Its confidence
+2. The base values are the seed instances. A pattern is a context of one or two words; another scan counts how often it occurs in the whole corpus (one for
+   each round that brings up new patterns). Its confidence
    is the share of these places that hold a known instance, so a common word that happens to stand before a number is no pattern.
 3. Spark scores the graph of patterns and instances in rounds: instances reached by trusted patterns (noisy-or of their confidences) become known and may make
-   further patterns trusted. The graph is a table of occurrences, aggregated by pattern and by instance with partial sums; nothing of it comes to the driver.
+   further patterns trusted, until a round reaches nothing new. The graph is a table of occurrences, aggregated by pattern and by instance with partial sums; nothing of it comes to the driver.
    (For the count of step 2 the patterns go to the tasks in blocks of PATTERN_BLOCK.)
 4. Look-alikes of known instances are added as spans, unless they overlap base spans of the text; base spans always stay.
 
@@ -30,7 +31,6 @@ from studyframe.llm.work import handed_off, spare
 KINDS = ["email", "ip", "card", "phone"]
 #: A pattern needs so many known instances and this confidence; an instance this belief.
 SUPPORT, CONFIDENCE, BELIEF = 5, 0.5, 0.75
-ROUNDS = 3
 PATTERN_BLOCK = 1 << 20
 
 # The base forms, made safe for long runs: where a form starts with a run of one class, a start inside the run can't succeed if the run's start failed.
@@ -38,11 +38,12 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_WORD = re.compile(r"[^\x20\x09-\x0d]+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 # Look-alikes of each kind.
 _LIKE = {
-    "email": re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}(?:@|\(at\)|\[at\])\w[\w.-]{0,250}\w"),
+    "email": re.compile(r"(?<![\w.%+-])[\w.%+-]++(?:@|\(at\)|\[at\])\w(?:[.-]*+\w)++"),
     "ip": re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![0-9A-Fa-f:])"),
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{3,6}){2,4}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9])\(?[0-9]{2,4}\)?[ ./-][0-9]{3,4}[ ./-]?[0-9]{3,4}(?![0-9])"),
@@ -104,13 +105,18 @@ def like_spans(text: str, base: list[Span]) -> list[Span]:
     return free
 
 
-def contexts(text: str, start: int) -> list[str]:
-    """The one and two white-space words that end before ``start``, in lower case."""
-    window = text[max(0, start - 200):start]
-    cut = len(window) - len(window.split(" ")[-1].split("\n")[-1])
-    words = re.findall(r"[^\x20\x09-\x0d]+", window[:cut])[-2:]
-    words = [w.lower() for w in words]
-    return [words[-1], " ".join(words)] if len(words) == 2 else words
+def contexts(text: str, starts: list[int]) -> list[list[str]]:
+    """For each of the ascending ``starts`` the one and two white-space words that end before the word it lies in, in lower case."""
+    out: list[list[str]] = []
+    words: list[str] = []
+    found = _WORD.finditer(text)
+    word = next(found, None)
+    for start in starts:
+        while word and word.end() <= start:
+            words = [*words[-1:], word[0].lower()]
+            word = next(found, None)
+        out.append([words[-1], " ".join(words)] if len(words) == 2 else list(words))
+    return out
 
 
 def _value(text: str, span: Span) -> str:
@@ -134,7 +140,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = like_spans(text, b)
             base.append(put(b))
             more.append(put(m))
-            graph.append([{"kind": s[1], "value": _value(text, s), "known": own, "contexts": contexts(text, s[0])} for own, x in ((True, b), (False, m)) for s in x])
+            graph.append([{"kind": s[1], "value": _value(text, s), "known": own, "contexts": c}
+                          for own, x in ((True, b), (False, m)) for s, c in zip(x, contexts(text, [s[0] for s in x]) if x else [], strict=True)])
         yield pa.record_batch([batch.column("doc_id"), pa.array(base, spans), pa.array(more, spans), pa.array(graph, seen)], ["doc_id", "base", "more", "seen"])
 
 
@@ -200,25 +207,30 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     edges = handed_off(edges, "pii-graph")
     if edges.filter("not known").isEmpty():
         return found, None
-    support = edges.groupBy("kind", "pattern").agg(F.count_if("known").alias("f")).filter(F.col("f") >= SUPPORT)
-    places = _places(docs, handed_off(support.select("pattern").distinct(), "pii-patterns"))
-    if places is None:
-        return found, None
-    places = handed_off(places, "pii-places")
-    known = edges.filter("known").select("kind", "value").distinct()
-    for _ in range(ROUNDS):
+    known = handed_off(edges.filter("known").select("kind", "value").distinct(), "pii-known")
+    asked = places = None
+    while True:
         mine = edges.join(known.withColumn("is", F.lit(True)), ["kind", "value"], "left")
-        trusted = (mine.groupBy("kind", "pattern").agg(F.count_if("is").alias("f"), F.sum(F.when(F.col("is"), F.col("n"))).alias("hits"))
-                   .filter(F.col("f") >= SUPPORT).join(places, "pattern")
-                   .withColumn("confidence", F.least(F.lit(1.0), F.col("hits") / F.col("places"))).filter(F.col("confidence") >= CONFIDENCE))
+        able = (mine.groupBy("kind", "pattern").agg(F.count_if("is").alias("f"), F.sum(F.when(F.col("is"), F.col("n"))).alias("hits"))
+                .filter(F.col("f") >= SUPPORT))
+        able = handed_off(able, "pii-support")
+        # patterns that the last round's instances brought up are counted, too
+        fresh = able.select("pattern").distinct()
+        fresh = handed_off(fresh if asked is None else fresh.join(asked, "pattern", "left_anti"), "pii-patterns")
+        counted = _places(docs, fresh)
+        if counted is not None:
+            asked = fresh if asked is None else handed_off(asked.unionAll(fresh), "pii-patterns")
+            places = handed_off(counted if places is None else places.unionAll(counted), "pii-places")
+        if places is None:
+            return found, None
+        trusted = able.join(places, "pattern").withColumn("confidence", F.least(F.lit(1.0), F.col("hits") / F.col("places"))).filter(F.col("confidence") >= CONFIDENCE)
         reached = (mine.filter("is is null").join(trusted.select("kind", "pattern", "confidence"), ["kind", "pattern"])
                    .groupBy("kind", "value").agg(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))).alias("doubt"))
                    .filter(1 - F.exp("doubt") >= BELIEF).select("kind", "value"))
         reached = handed_off(reached, "pii-reached")
         if reached.isEmpty():
-            break
-        known = known.unionAll(reached)
-    return found, handed_off(known, "pii-known")
+            return found, known
+        known = handed_off(known.unionAll(reached), "pii-known")
 
 
 def spans(docs: DataFrame) -> DataFrame:

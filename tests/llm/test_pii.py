@@ -58,3 +58,17 @@ def test_context_finds_numbers_of_another_form(spark):
     clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
     assert clean[12] == "reach us mobile: <phone> thanks" and clean[13] == texts[13] and clean[14] is None and clean[16] == "again <phone>"
     assert pii.spans(docs.limit(0)).count() == 0 and pii.redact(docs.limit(0)).count() == 0
+
+
+def test_rounds_go_on_until_nothing_new_is_reached(spark):
+    rng = random.Random(8)
+    numbers = [[f"030 {555 + h} {1000 + 10 * h + k}" for k in range(6)] for h in range(7)]
+    texts = [f"ask ring0: +1 ({rng.randint(100, 999)}) 555-{rng.randint(1000, 9999)} now" for _ in range(8)]
+    for h, some in enumerate(numbers):
+        texts += [f"ask ring{h}: {n} now" for n in some] + [f"ask ring{h + 1}: {n} now" for n in some] * 2
+    long = "x" * 300
+    texts += [f"to {long}: a{k}@b.example end" for k in range(8)] + [f"to {long}: {'y' * 90}(at)bb end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.digests(pii.spans(docs)).collect()}
+    assert all(got[k] for k in range(len(texts)))
+    assert "<email>" in {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}[len(texts) - 1]
