@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyframe.llm import bpe, decontaminate, licenses, lm, neardup, pii, quality_model, quality_rules, suffixes, wrappers
+from studyframe.llm import bpe, decontaminate, licenses, lm, neardup, periodic, pii, quality_model, quality_rules, suffixes, wrappers
 from studyframe.llm.work import id_remainder, table
 
 
@@ -58,8 +58,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.spans(table(spark, sf_dir, "documents")))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.runs(periodic.with_planted_cycles(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_lm_scoring, op3_decontamination, op4_bpe, op5_html_extraction, op6_quality_classifier, op7_near_duplicates, op8_license_scan, op9_suffix_repeats,
-        op10_pii)}
+        op10_pii, op11_periodic_runs)}
 
 ORACLES: dict[str, str] = {"op8_license_scan": licenses.sql()}

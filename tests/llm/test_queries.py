@@ -19,6 +19,7 @@ COLUMNS = {
     "op8": ["doc_id", "n_sentences", "sentence_ids", "licenses"],
     "op9": ["doc_id", "start", "stop", "n_words"],
     "op10": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+    "op11": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
 }
 
 
