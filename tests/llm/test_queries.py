@@ -20,6 +20,7 @@ COLUMNS = {
     "op9": ["doc_id", "start", "stop", "n_words"],
     "op10": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
     "op11": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
+    "op12": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
 }
 
 
@@ -33,7 +34,7 @@ def test_query(spark, name):
     op = name.split("_")[0]
     out = queries.QUERIES[name](spark, SF)
     assert out.columns[:len(COLUMNS[op])] == COLUMNS[op]
-    if op not in ("op3", "op9"):
+    if op not in ("op3", "op9", "op12"):
         assert out.count() == table(spark, SF, "pages" if op == "op5" else "documents").count()
     else:
         assert out.count() > 0
@@ -41,5 +42,6 @@ def test_query(spark, name):
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql_parses(name):
-    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        duckdb.sql(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     assert duckdb.sql(queries.ORACLES[name]).columns
