@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyframe.llm import bpe, decontaminate, hard_negatives, licenses, lm, neardup, periodic, pii, quality_model, quality_rules, suffixes, wrappers
+from studyframe.llm import bpe, decontaminate, hard_negatives, licenses, lm, neardup, overlap_join, periodic, pii, quality_model, quality_rules, suffixes, wrappers
 from studyframe.llm.work import id_remainder, table
 
 
@@ -66,8 +66,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(hard_negatives.prepared(table(spark, sf_dir, "embeddings")), F.col("id") % 100 == 0)
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_join.components_of(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_lm_scoring, op3_decontamination, op4_bpe, op5_html_extraction, op6_quality_classifier, op7_near_duplicates, op8_license_scan, op9_suffix_repeats,
-        op10_pii, op11_periodic_runs, op12_hard_negatives)}
+        op10_pii, op11_periodic_runs, op12_hard_negatives, op13_ngram_jaccard_join)}
 
 ORACLES: dict[str, str] = {"op8_license_scan": licenses.sql(), "op12_hard_negatives": hard_negatives.sql()}

@@ -21,6 +21,7 @@ COLUMNS = {
     "op10": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
     "op11": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
     "op12": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
+    "op13": ["doc_id", "n_shingles", "component_id"],
 }
 
 
