@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from studyframe.functions.clock import TICKS_PER_HOUR, tick
 from studyframe.operators.grids import replicate_subjects
-from studyframe.operators.grouping import first_per, join_on, ordinal
+from studyframe.operators.grouping import first_per, join_on, ordinal, running_max, running_sums
 
 # The common baseline, and the fitted maximum inhibition.
 COMMON_P_0 = 33.32
@@ -88,8 +87,8 @@ def paired_difference(df: DataFrame, keys: list[str], flag: str, order: list[str
                    for out, c in values.items()]
     kept = [F.max(F.when(end, F.col(c))).alias(c) for c in carry or []]
     return (numbered.groupBy(*keys, "pair")
-            .agg(*differences, *kept, F.count_distinct(flag).alias("_sides"))
-            .filter("_sides = 2").drop("_sides"))
+            .agg(*differences, *kept, F.count_if(end).alias("_ends"), F.count_if(start).alias("_starts"))
+            .filter("_ends > 0 AND _starts > 0").drop("_ends", "_starts"))
 
 
 def cycle_index(df: DataFrame, keys: list[str], order: list[str], length: int,
@@ -111,19 +110,19 @@ def collection_window(df: DataFrame, keys: list[str], is_start: Column, time: st
     Adds ``DAY`` (the number of the start), ``dTIME`` and ``dUCA`` relative to it. A subject
     may have any number of starts; the last day is open ended. Rows before the first start
     have no day and are left out, as are rows at the very time of a start unless
-    ``inclusive``. Starts become intervals in a window over the starts alone; rows meet
-    them in a join on the subject, which adaptive execution splits if one is large.
+    ``inclusive``. The rows are one sequence along ``order``, which begins with ``time``: starts
+    are numbered by a running count, and each row takes the last start at or before its time,
+    so the work is linear in the rows of a subject.
     """
-    w = Window.partitionBy(*keys).orderBy(*[F.asc_nulls_last(c) for c in order])
-    starts = (df.filter(is_start).select(*keys, *dict.fromkeys([*order, time, value]))
-              .select(*keys, F.row_number().over(w).alias("DAY"), F.col(time).alias("_t"),
-                      F.col(value).alias("_v"), F.lead(time).over(w).alias("_next")))
-    t = F.col(time)
-    after = t >= F.col("_t") if inclusive else t > F.col("_t")
-    inside = after & (F.col("_next").isNull() | (t < F.col("_next")))
-    return (join_on(df, starts, keys, extra=inside)
-            .withColumns({"dTIME": t - F.col("_t"), "dUCA": F.col(value) - F.col("_v")})
-            .drop("_t", "_v", "_next"))
+    rows = df.filter(F.col(time).isNotNull()).withColumn("_one", F.when(is_start, 1).otherwise(0))
+    numbered = running_sums(rows, keys, order, {"_day": "_one"})
+    start = F.when(F.col("_one") == 1, F.struct(F.col("_day").cast("int").alias("day"), F.col(time).alias("t"), F.col(value).alias("v")))
+    found = running_max(numbered, keys, time, start, "_last").filter("_last IS NOT NULL")
+    if not inclusive:
+        found = found.filter(F.col(time) > F.col("_last.t"))
+    return found.withColumns({
+        "DAY": F.col("_last.day"), "dTIME": F.col(time) - F.col("_last.t"),
+        "dUCA": F.col(value) - F.col("_last.v")}).drop("_one", "_day", "_last")
 
 
 def override_params(population: DataFrame, attributes: DataFrame, key: str,

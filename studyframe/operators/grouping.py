@@ -139,3 +139,25 @@ def ordinal(df: DataFrame, keys: list[str], order: list[str], name: str,
         return df.withColumn(name, F.row_number().over(w).cast("long"))
     ones = df.withColumn("_one", F.lit(1))
     return running_sums(ones, keys, order, {name: "_one"}, group_rows).drop("_one")
+
+
+def running_max(df: DataFrame, keys: list[str], by: str, value: Column, out: str,
+                group_rows: int | None = None) -> DataFrame:
+    """Greatest non-null ``value`` (a column, or struct) of the rows whose number ``by`` is at most that of the row.
+
+    A hot group is cut into chunks along ``by``; rows of equal ``by`` share one, and each takes
+    over the greatest value of the chunks before it.
+    """
+    held = df.withColumn("_held", value)
+    if not has_hot_group(df, keys, group_rows):
+        w = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(by))
+        return held.withColumn(out, F.max("_held").over(w)).drop("_held")
+    chunked = _with_chunks(held, keys, by, hot_limit(df))
+    before = (Window.partitionBy(*keys).orderBy("_chunk")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    carried = (chunked.groupBy(*keys, "_chunk").agg(F.max("_held").alias("_end"))
+               .select(*keys, "_chunk", F.max("_end").over(before).alias("_start")))
+    within = Window.partitionBy(*keys, "_chunk").orderBy(F.asc_nulls_last(by))
+    return (join_on(chunked, carried, [*keys, "_chunk"], "left")
+            .withColumn(out, F.array_max(F.array(F.max("_held").over(within), F.col("_start"))))
+            .drop("_held", "_chunk", "_start"))

@@ -28,6 +28,9 @@ def build_session(app: str = "studyframe", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_local: list[str] = []  # the folder of a local session
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -39,7 +42,9 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="studyframe-")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="studyframe-"))
+    return _local[0]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -47,14 +52,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``.
+_written: list[str] = []
+
 
-    Used between the stages of long jobs, so that a lost executor costs one
-    stage and not the whole chain. A folder of our own is set only where the
-    session names none, as in local tests.
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` below the shared folder and read it again.
+
+    Used between the stages of long jobs, so that a lost executor costs one stage and not the
+    whole chain. Tables stay until ``drop_written``.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    _written.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete the hand-off tables of this process, once the results that read them have been used; returns how many."""
+    context = spark.sparkContext
+    gone = 0
+    while _written:
+        path = context._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return gone

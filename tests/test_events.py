@@ -186,3 +186,28 @@ def test_sources(spark, tmp_path):
     parquet = str(tmp_path / "sheet")
     df.write.parquet(parquet)
     assert rows(study.read_study(spark, parquet, "parquet")) == rows(df)
+
+
+def test_collection_window_of_a_large_subject(spark, hot):
+    """A hundred thousand starts and ties in time, in chunks; the plan has no join on a range."""
+    n = 100_000
+    df = spark.range(2 * n).select(F.lit(7).alias("ID"), (F.floor(F.col("id") / 2) * 0.5).alias("time"), (F.col("id") % 2).cast("int").alias("start"),
+                                   F.col("id").cast("double").alias("UCA"), F.col("id").alias("REC"))
+    spark.conf.set("spark.studyframe.hotGroupRows", "50000")
+    out = attach.collection_window(df, ["ID"], F.col("start") == 1, "time", "UCA", ["time", "REC"], True)
+    r = out.agg(F.count("*"), F.max("DAY"), F.sum(F.abs("dTIME")), F.sum("dUCA"), F.sum((F.col("DAY") == F.floor(F.col("REC") / 2) + 1).cast("int"))).first()
+    assert tuple(r) == (2 * n, n, 0.0, -1.0 * n, 2 * n)
+
+
+def test_collection_window_plan(clocked):
+    out = attach.collection_window(clocked, ["ID"], F.col("start") == 1, "time", "UCA", ["time"], True)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_collection_window_in_chunks(clocked, spark):
+    plain = window(clocked, True), window(clocked, False)
+    spark.conf.set("spark.studyframe.hotGroupRows", "3")
+    try:
+        assert (window(clocked, True), window(clocked, False)) == plain
+    finally:
+        spark.conf.unset("spark.studyframe.hotGroupRows")
