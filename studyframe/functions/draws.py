@@ -1,7 +1,7 @@
 """Repeatable random columns: a hash of (seed, key, attempt, stream), never row position.
 
-The value belongs to the key, so repartitioning, retries and re-evaluation cannot
-change it.
+The value belongs to the key, so repartitioning, retries and re-evaluation cannot change it. The hash is MD5 of the parts as text,
+which other engines have, too, so draws can be compared row by row. One uniform gives one normal, by the inverse of the normal distribution function.
 """
 
 from __future__ import annotations
@@ -11,14 +11,54 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Coefficients of Wichura's rational approximations (AS 241, PPND16), constant term first.
+CENTRE = (
+    (3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4,
+     4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3),
+    (1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3,
+     2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3))
+MIDDLE = (
+    (1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0,
+     1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4),
+    (1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1,
+     1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9))
+FAR = (
+    (6.65790464350110377720e0, 5.46378491116411436990e0, 1.78482653991729133580e0, 2.96560571828504891230e-1,
+     2.65321895265761230930e-2, 1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7),
+    (1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2,
+     7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15))
+
 
 def uniform(seed: int, *parts: Column) -> Column:
-    """Uniform on (0, 1) from the top 53 bits of a 64-bit hash."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *parts), 11)
-    return (bits.cast("double") + 0.5) * F.lit(2.0 ** -53)
+    """Uniform on (0, 1) from the first 52 bits of the hash; a null part counts as ``~``."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(p.cast("string"), F.lit("~")) for p in parts])
+    bits = F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double")
+    return (bits + 0.5) * F.lit(2.0 ** -52)
+
+
+def _ratio(table: tuple, r: Column) -> Column:
+    value = []
+    for row in table:
+        total = F.lit(row[-1])
+        for c in reversed(row[:-1]):
+            total = total * r + c
+        value.append(total)
+    return value[0] / value[1]
+
+
+def normal_quantile(p: Column) -> Column:
+    """Inverse of the standard normal distribution function, for p in (0, 1)."""
+    q = p - 0.5
+    s = F.sqrt(-F.ln(F.least(p, 1 - p)))
+    tail = F.when(s <= 5, _ratio(MIDDLE, s - 1.6)).otherwise(_ratio(FAR, s - 5))
+    return F.when(F.abs(q) <= 0.425, q * _ratio(CENTRE, 0.180625 - q * q)).when(q < 0, -tail).otherwise(tail)
+
+
+def normal_probability(x: float) -> float:
+    """Standard normal distribution function."""
+    return math.erfc(-x / math.sqrt(2)) / 2
 
 
 def normal(seed: int, *parts: Column) -> Column:
-    """Standard normal (Box-Muller) for the given key parts."""
-    radius = F.sqrt(-2 * F.ln(uniform(seed, *parts, F.lit(0))))
-    return radius * F.cos(F.lit(2 * math.pi) * uniform(seed, *parts, F.lit(1)))
+    """Standard normal for the given key parts."""
+    return normal_quantile(uniform(seed, *parts))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from studyframe.functions.responses import sigmoid_emax, signif, um_to_mgl
 from studyframe.operators.grouping import join_on
 from studyframe.operators.summaries import nearest_to
+from studyframe.session import cut_lineage
 
 # Full effect (percent), half effect and the bounds of hill and sigma.
 EMAX, HALF_EFFECT = 100.0, 50.0
@@ -51,8 +52,11 @@ def without_half_point(points: DataFrame, keys: list[str]) -> DataFrame:
 
 def hill_profile(points: DataFrame, keys: list[str]) -> DataFrame:
     """Objective over the coarse hill grid (every dataset x grid point)."""
-    step = F.explode(F.sequence(F.lit(0), F.lit(COARSE_POINTS)))
-    gridded = _collapsed(points, keys).withColumn("_k", step)
+    return _profile(_collapsed(points, keys), keys)
+
+
+def _profile(collapsed: DataFrame, keys: list[str]) -> DataFrame:
+    gridded = collapsed.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(COARSE_POINTS))))
     return _scores(gridded.withColumn("hill", F.col("_k") * F.lit(COARSE_STEP)), keys)
 
 
@@ -71,20 +75,19 @@ def fit_hill(points: DataFrame, keys: list[str], passes: int = 3) -> DataFrame:
     A coarse grid over [0, 9] is refined around its best point, ten times finer in every
     pass.
     """
-    data = _collapsed(points, keys)
-    best = _best(hill_profile(points, keys), keys)
+    # read in every pass: written once
+    data = cut_lineage(_collapsed(points, keys))
+    best = _best(_profile(data, keys), keys)
     step = COARSE_STEP
     for _ in range(passes):
         step = step / REFINE
         offsets = F.array(*[F.lit(i * step) for i in range(-REFINE, REFINE + 1)])
         near = (join_on(data, best.select(*keys, F.col("hill").alias("_mid")), keys)
-                .withColumn("hill", F.explode(F.transform(
+                # clamping may repeat a bound; repeated points would be counted twice
+                .withColumn("hill", F.explode(F.array_distinct(F.transform(
                     offsets, lambda o: F.least(F.greatest(F.col("_mid") + o, F.lit(0.0)),
-                                               F.lit(UPPER))))))
-        near = near.drop("_mid")
-        # clamping may repeat a bound; repeated points would be counted twice
-        near = near.distinct()
-        best = _best(_scores(near, keys), keys)
+                                               F.lit(UPPER)))))))
+        best = cut_lineage(_best(_scores(near.drop("_mid"), keys), keys))
     return best.withColumn("hill", signif(F.round("hill", 6), 3))
 
 

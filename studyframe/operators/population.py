@@ -6,15 +6,17 @@ The random stream of any other tool is not reproduced; the distributions are.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from studyframe.functions.draws import normal
+from studyframe.functions.draws import normal, normal_probability, normal_quantile, uniform
 from studyframe.functions.kernel import LinearModel
+from studyframe.session import cut_lineage
 
-INLINE_ATTEMPTS = 4
-MAX_ATTEMPTS = 400
+#: Draws tried in the first pass over the keys, and at most in a later one.
+FIRST_ATTEMPTS, MOST_ATTEMPTS = 2, 256
 
 
 def log_moments(mean: float, sd: float) -> tuple[float, float]:
@@ -39,52 +41,49 @@ def cholesky(matrix: list[list[float]]) -> list[list[float]]:
     return low
 
 
-def _first_accepted(draw, accepted, attempts: int, what: str) -> Column:
-    """First accepted draw of a key. Later attempts are evaluated only if earlier ones
-    fail; running out of attempts is an error, never a missing row."""
-    tries = [F.when(accepted(d), d) for d in (draw(F.lit(a)) for a in range(INLINE_ATTEMPTS))]
-    blank = F.lit(None).cast("array<double>")
-
-    def step(kept: Column, attempt: Column) -> Column:
-        d = draw(attempt)
-        return F.coalesce(kept, F.when(accepted(d), d))
-
-    rest = F.aggregate(F.sequence(F.lit(INLINE_ATTEMPTS), F.lit(attempts)), blank, step)
-    failed = F.raise_error(F.lit(f"{what}: no draw inside the range in {attempts} attempts"))
-    return F.coalesce(*tries, rest, failed.cast("array<double>"))
-
-
 def trunc_normal(ids: DataFrame, key: str, out: str, mean: float, sd: float, low: float,
-                 high: float, log: bool = False, seed: int = 1,
-                 max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """Normal (or moment-matched log-normal) draws, redrawn while outside [low, high]."""
+                 high: float, log: bool = False, seed: int = 1) -> DataFrame:
+    """Normal (or moment-matched log-normal) draws inside [low, high], one uniform each.
+
+    The uniform is laid over the probabilities between the bounds and inverted, which has the
+    distribution of drawing again while outside. A range without any probability is an error.
+    """
     low, high = min(low, high), max(low, high)
     mu, sigma = log_moments(mean, sd) if log else (mean, sd)
-
-    def draw(attempt: Column) -> Column:
-        x = mu + sigma * normal(seed, F.col(key), attempt)
-        return F.array(F.exp(x) if log else x)
-
-    picked = _first_accepted(draw, lambda d: d[0].between(low, high), max_attempts, out)
-    return ids.withColumn(out, picked[0])
+    edge = (lambda v: math.log(v) if v > 0 else -math.inf) if log else float
+    a, b = ((edge(v) - mu) / sigma for v in (low, high))
+    # above the mean the small probabilities are those of the mirrored range
+    mirrored = a > 0
+    first, last = (normal_probability(-b), normal_probability(-a)) if mirrored else (normal_probability(a), normal_probability(b))
+    if not last > first:
+        raise ValueError(f"{out}: no draw inside the range, it has no probability")
+    z = normal_quantile(first + uniform(seed, F.col(key)) * (last - first))
+    x = mu + sigma * (-z if mirrored else z)
+    return ids.withColumn(out, F.least(F.greatest(F.exp(x) if log else x, F.lit(float(low))), F.lit(float(high))))
 
 
 def trunc_mvnormal(ids: DataFrame, key: str, outs: list[str], mean: list[float],
                    sd: list[float], corr: list[list[float]], low: list[float],
-                   high: list[float], log: bool = False, seed: int = 1,
-                   max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+                   high: list[float], log: bool = False, seed: int = 1) -> DataFrame:
     """Correlated draws; a row is redrawn if any coordinate is outside its range.
 
-    With ``log`` a coordinate is ``mean * exp(N(0, cov))``: the mean acts as the median.
+    With ``log`` a coordinate is ``mean * exp(N(0, cov))``: the mean acts as the median. Keys
+    without an accepted draw go on to the next pass, a shrinking table in the shared folder, until
+    none is left. A range without any probability in one coordinate is an error.
     """
     size = len(mean)
     if not len(sd) == len(low) == len(high) == len(outs) == size:
-        raise ValueError("mean, sd, low, high and outs must have the same length")
+        raise ValueError("every coordinate needs a name, a mean, an sd and two bounds")
     if len(corr) != size or any(len(r) != size for r in corr):
-        raise ValueError("corr must be a square matrix matching the length of mean")
+        raise ValueError("the correlations need a row and a column for each coordinate")
     sigma = [log_moments(m, s)[1] for m, s in zip(mean, sd)] if log else sd
     factor = cholesky([[corr[i][j] * sigma[i] * sigma[j] for j in range(size)]
                        for i in range(size)])
+    for i in range(size):
+        centred = [math.log(max(v, 1e-300) / mean[i]) if log else v - mean[i] for v in (low[i], high[i])]
+        a, b = centred if centred[0] <= 0 else (-centred[1], -centred[0])
+        if not normal_probability(b / sigma[i]) > normal_probability(a / sigma[i]):
+            raise ValueError(f"{outs[i]}: no draw inside the range, it has no probability")
 
     def draw(attempt: Column) -> Column:
         z = [normal(seed, F.col(key), attempt, F.lit(j)) for j in range(size)]
@@ -100,10 +99,17 @@ def trunc_mvnormal(ids: DataFrame, key: str, outs: list[str], mean: list[float],
             ok = ok & d[i].between(low[i], high[i])
         return ok
 
-    picked = _first_accepted(draw, accepted, max_attempts, "+".join(outs))
-    return (ids.withColumn("_draw", picked)
-            .withColumns({name: F.col("_draw")[i] for i, name in enumerate(outs)})
-            .drop("_draw"))
+    done, todo, attempt, more = [], ids.drop(*outs), 0, FIRST_ATTEMPTS
+    while True:
+        draws = F.transform(F.sequence(F.lit(attempt), F.lit(attempt + more - 1)), draw)
+        tried = cut_lineage(todo.withColumn("_draw", F.get(F.filter(draws, accepted), F.lit(0))))
+        done.append(tried.filter("_draw IS NOT NULL"))
+        todo = tried.filter("_draw IS NULL").drop("_draw")
+        if todo.isEmpty():
+            break
+        attempt, more = attempt + more, min(4 * more, MOST_ATTEMPTS)
+    found = reduce(DataFrame.unionByName, done)
+    return found.withColumns({name: F.col("_draw")[i] for i, name in enumerate(outs)}).drop("_draw")
 
 
 def draw_etas(ids: DataFrame, key: str, model: LinearModel, seed: int = 1) -> DataFrame:

@@ -6,12 +6,9 @@ import math
 
 from pyspark.sql import functions as F
 
-from studyframe.functions import models
-from studyframe.functions.kernel import with_rates
+from studyframe.functions import draws, models
 from studyframe.operators import population
-from studyframe.operators.grids import regimen_grid
-from studyframe.operators.superpose import dose_superposition, regimen_response
-from studyframe.plans import regimen
+from studyframe.operators.superpose import dose_superposition
 from studyframe.plans.catalog.reference_sql import query
 from studyframe.plans.catalog.scalars import _ORAL, eta_sql, fixed_etas
 from studyframe.sources import fixtures as fx
@@ -48,97 +45,53 @@ def superposed_inhaled(spark, d):
                         for c, k in (("PARA", "PX"), ("THPH", "TP"), ("THBR", "TB"))])
 
 
-def _truncated_mean(mean, sd, low, high):
-    a, b = (low - mean) / sd, (high - mean) / sd
-    density = [math.exp(-z * z / 2) / math.sqrt(2 * math.pi) for z in (a, b)]
-    inside = (math.erf(b / math.sqrt(2)) - math.erf(a / math.sqrt(2))) / 2
-    return mean + sd * (density[0] - density[1]) / inside
-
-
 def truncated_weights(spark, d):
-    """Checks of the drawn column: bounds, and its mean against the exact one."""
+    """Draws of a normal and of a log-normal column inside their bounds, by key."""
     ids = fx.subjects(spark, d).select("ID")
-    drawn = population.trunc_normal(ids, "ID", "WT", 70, 15, 40, 90)
-    drawn = population.trunc_normal(drawn, "ID", "CLCR", 90, 40, 20, 300, log=True, seed=5)
-    expected = _truncated_mean(70, 15, 40, 90)
-    return drawn.agg(
-        F.count("WT").alias("n"),
-        F.sum(F.col("WT").between(40, 90).cast("long")).alias("n_inside"),
-        F.sum(F.col("CLCR").between(20, 300).cast("long")).alias("n_log_inside"),
-        (F.abs(F.avg("WT") - expected) < 5 * 15 / F.sqrt(F.count("WT"))).alias("mean_ok"),
-        (F.count_distinct("WT") == F.count("WT")).alias("distinct_ok"))
+    drawn = population.trunc_normal(ids, "ID", "WT", *_WEIGHT)
+    drawn = population.trunc_normal(drawn, "ID", "CLCR", *_CLEARANCE, log=True, seed=5)
+    return _rounded(drawn, "ID", "WT", "CLCR")
 
 
 def truncated_pairs(spark, d):
+    """Correlated draws, redrawn while a coordinate is outside; the second range takes one row in about twenty."""
     ids = fx.subjects(spark, d).select("ID")
-    drawn = population.trunc_mvnormal(
-        ids, "ID", ["WT", "HT"], [75, 170], [12, 8], [[1, 0.6], [0.6, 1]], [40, 140], [120, 200])
-    drawn = population.trunc_mvnormal(
-        drawn, "ID", ["CL", "V"], [5, 30], [1.5, 6], [[1, 0.4], [0.4, 1]], [1, 5], [12, 80],
-        log=True, seed=9)
-    inside = F.col("WT").between(40, 120) & F.col("HT").between(140, 200)
-    log_inside = F.col("CL").between(1, 12) & F.col("V").between(5, 80)
-    return drawn.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(inside.cast("long")).alias("n_inside"),
-        F.sum(log_inside.cast("long")).alias("n_log_inside"),
-        (F.abs(F.corr("WT", "HT") - 0.6) < 0.15).alias("corr_ok"))
-
-
-def _moment_checks(drawn, variances):
-    out = [F.count(F.lit(1)).alias("n")]
-    for name, v in variances.items():
-        n = F.count(name)
-        out.append((F.abs(F.avg(name)) < 5 * F.sqrt(v / n)).alias(f"{name}_mean_ok"))
-        out.append((F.abs(F.var_pop(name) / v - 1) < 5 * F.sqrt(2.0 / n)).alias(f"{name}_var_ok"))
-    return drawn.agg(*out)
+    drawn = population.trunc_mvnormal(ids, "ID", ["WT", "HT"], *_BODY)
+    drawn = population.trunc_mvnormal(drawn, "ID", ["CL", "V"], *_RARE, log=True, seed=9)
+    return _rounded(drawn, "ID", "WT", "HT", "CL", "V")
+
+
+def _rounded(drawn, *names):
+    keys = [n for n in names if n in ("ID", "OBS")]
+    return drawn.select(*keys, *[F.round(n, 8).alias(n) for n in names if n not in keys])
 
 
 def drawn_etas(spark, d):
     ids = fx.subjects(spark, d).select("ID")
     oral = population.draw_etas(ids, "ID", models.ORAL_ABSTINENT)
-    return _moment_checks(oral, {f"ETA{k}": v for k, v in models.ORAL_ABSTINENT.omega.items()})
+    return _rounded(oral, "ID", *[f"ETA{k}" for k in models.ORAL_ABSTINENT.omega])
 
 
 def drawn_eta_blocks(spark, d):
     ids = fx.subjects(spark, d).select("ID")
-    drawn = population.draw_etas(ids, "ID", models.INHALED)
-    n = F.count(F.lit(1))
-    checks = []
-    for numbers, block in models.INHALED.omega_blocks:
-        for i, a in enumerate(numbers):
-            for j in range(i + 1):
-                b = numbers[j]
-                tolerance = 5 * F.sqrt((block[i][i] * block[j][j] + block[i][j] ** 2) / n)
-                checks.append((F.abs(F.covar_pop(f"ETA{a}", f"ETA{b}") - block[i][j]) < tolerance)
-                              .alias(f"cov_{a}_{b}_ok"))
-    return drawn.agg(n.alias("n"), *checks)
+    return _rounded(population.draw_etas(ids, "ID", models.INHALED), "ID", *[f"ETA{k}" for k in range(1, 7)])
 
 
 def drawn_eps(spark, d):
     rows = fx.observed(spark, d).select("ID", "OBS")
     drawn = population.draw_eps(rows, ["ID", "OBS"], models.ORAL_ABSTINENT)
-    return _moment_checks(drawn, {f"EPS{i}": v for i, v in
-                                  enumerate(models.ORAL_ABSTINENT.sigma.values(), start=1)})
+    return _rounded(drawn, "ID", "OBS", "EPS1", "EPS2")
 
 
-def _ids(spark, d):
-    return fx.subjects(spark, d).select((F.col("ID") + 1).alias("ID"))
-
-
-def typical_regimen(spark, d):
-    """The projection form of the kernels, at fixed effects, over a two-dose schedule."""
-    model = models.ORAL_HABITUAL
-    people = population.individual_params(fixed_etas(_ids(spark, d), 11), model)
-    people = with_rates(population.initial_amounts(people, model), model)
-    rows = regimen_grid(people, regimen.SHORT_TIMES, [0, 8], 100, 1, 30)
-    out = regimen_response(rows, model, [0, 8], 100.0, {c: f"{c}_0" for c in model.initial})
-    return out.select("ID", "time", F.round(F.col("CENT") / F.col("V1"), 6).alias("IPRECA"),
-                      F.round(F.col("PARA") / F.col("V2"), 6).alias("IPREPX"))
+# mean, sd, low, high; then the same with correlations
+_WEIGHT, _CLEARANCE = (70, 15, 40, 90), (90, 40, 20, 300)
+_BODY = [75, 170], [12, 8], [[1, 0.6], [0.6, 1]], [40, 140], [120, 200]
+_RARE = [5, 30], [1.5, 6], [[1, 0.4], [0.4, 1]], [6.5, 20], [12, 32]
 
 
 QUERIES = {
     "superposed_oral": superposed_oral, "superposed_gum": superposed_gum,
-    "superposed_inhaled": superposed_inhaled, "typical_regimen": typical_regimen,
+    "superposed_inhaled": superposed_inhaled,
     "truncated_weights": truncated_weights, "truncated_pairs": truncated_pairs,
     "drawn_etas": drawn_etas, "drawn_eta_blocks": drawn_eta_blocks, "drawn_eps": drawn_eps,
 }
@@ -216,16 +169,83 @@ FROM (SELECT *, K12 + K21 + ke AS s FROM (SELECT *, CL / V1 AS ke, 0.6 * 9.74 /
   SELECT ID, 3.55 * exp({eta_sql(1)}) AS KA, 0.6 * 76.2 * exp({eta_sql(2)}) AS V1, 0.6 * 8.37 * exp({eta_sql(3)}) AS CL,
     0.0288 * exp({eta_sql(4)}) AS FPX, 0.00342 * exp({eta_sql(5)}) AS FTP, 0.00537 * exp({eta_sql(6)}) AS FTB
   FROM (SELECT DISTINCT ID FROM fx_event))))"""
-_HABITUAL = [(p, models.ORAL_HABITUAL.typical[p], n) for p, _, n in _ORAL]
-_H = _initial("time", models.ORAL_HABITUAL.initial)
-_TIMES = ", ".join(f"({t}::DOUBLE)" for t in regimen.SHORT_TIMES)
 
 
-def _ok(*names: str) -> str:
-    return ", ".join(f"TRUE AS {n}" for n in names)
+def _uniform(seed: int, *parts: str) -> str:
+    text = ", ".join([f"'{seed}'", *[f"CAST({p} AS VARCHAR)" for p in parts]])
+    return f"((CAST('0x' || substr(md5(concat_ws(':', {text})), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE)"
+
+
+def _polynomial(row: tuple, r: str) -> str:
+    out = f"{row[-1]!r}::DOUBLE"
+    for c in reversed(row[:-1]):
+        out = f"({out} * {r} + {c!r}::DOUBLE)"
+    return out
+
+
+def _quantile(p: str, source: str, out: str) -> str:
+    """``source`` with a column ``out``: the normal quantile of its expression ``p``."""
+    ratio = lambda table, r: f"{_polynomial(table[0], r)} / {_polynomial(table[1], r)}"
+    return f"""
+SELECT * EXCLUDE (_p, _q, _s), CASE WHEN abs(_q) <= 0.425::DOUBLE THEN _q * {ratio(draws.CENTRE, '(0.180625::DOUBLE - _q * _q)')}
+  ELSE (CASE WHEN _q < 0 THEN -1 ELSE 1 END) * CASE WHEN _s <= 5 THEN {ratio(draws.MIDDLE, '(_s - 1.6::DOUBLE)')} ELSE {ratio(draws.FAR, '(_s - 5)')} END END AS {out}
+FROM (SELECT *, _p - 0.5::DOUBLE AS _q, sqrt(-ln(least(_p, 1 - _p))) AS _s FROM (SELECT *, {p} AS _p FROM {source}))"""
+
+
+def _normals(source: str, columns: dict[str, str]) -> str:
+    """``source`` with a normal column for each uniform."""
+    out = f"SELECT * FROM {source}"
+    for name, u in columns.items():
+        out = _quantile(u, f"({out})", name)
+    return out
+
+
+def _between(low: float, high: float, mu: float, sigma: float, u: str) -> str:
+    a, b = (draws.normal_probability((v - mu) / sigma) for v in (low, high))
+    return f"({a!r}::DOUBLE + {u} * ({b!r}::DOUBLE - {a!r}::DOUBLE))"
+
+
+def _weights_sql() -> str:
+    mean, sd, low, high = _CLEARANCE
+    mu, sigma = population.log_moments(mean, sd)
+    return f"""
+SELECT ID, round({_WEIGHT[0]} + {_WEIGHT[1]} * z1, 8) AS WT, round(exp({mu!r}::DOUBLE + {sigma!r}::DOUBLE * z2), 8) AS CLCR
+FROM ({_normals('(SELECT ID FROM fx_subject)', {'z1': _between(_WEIGHT[2], _WEIGHT[3], *_WEIGHT[:2], _uniform(1, 'ID')),
+                                               'z2': _between(math.log(low), math.log(high), mu, sigma, _uniform(5, 'ID'))})})"""
+
+
+def _redrawn(seed: int, mean, sd, corr, low, high, log: bool, names: list[str]) -> str:
+    """Recursive tries of a pair: the next one follows while either coordinate is outside."""
+    sigma = [population.log_moments(m, s)[1] for m, s in zip(mean, sd)] if log else sd
+    factor = population.cholesky([[corr[i][j] * sigma[i] * sigma[j] for j in range(2)] for i in range(2)])
+    sums = [f"{factor[0][0]!r}::DOUBLE * z0", f"({factor[1][0]!r}::DOUBLE * z0 + {factor[1][1]!r}::DOUBLE * z1)"]
+    x = [f"{mean[i]} * exp({sums[i]})" if log else f"{mean[i]} + {sums[i]}" for i in range(2)]
+    inside = " AND ".join(f"{names[i]} BETWEEN {low[i]} AND {high[i]}" for i in range(2))
+
+    def tried(source: str) -> str:
+        z = _normals(source, {f"z{j}": _uniform(seed, "ID", "attempt", str(j)) for j in range(2)})
+        return f"SELECT ID, attempt, {names[0]}, {names[1]}, {inside} AS good FROM (SELECT ID, attempt, {x[0]} AS {names[0]}, {x[1]} AS {names[1]} FROM ({z}))"
+
+    this = f"tries_{names[0]}"
+    return f"{tried('(SELECT ID, 0 AS attempt FROM fx_subject)')} UNION ALL {tried(f'(SELECT ID, attempt + 1 AS attempt FROM {this} WHERE NOT good)')}"
+
+
+def _etas_sql(model) -> str:
+    numbers = sorted([*model.omega, *[n for block in model.omega_blocks for n in block[0]]])
+    z = _normals("(SELECT ID FROM fx_subject)", {f"z{n}": _uniform(1, "ID", str(n)) for n in numbers})
+    out = {n: f"{math.sqrt(v)!r}::DOUBLE * z{n}" for n, v in model.omega.items()}
+    for ns, block in model.omega_blocks:
+        factor = population.cholesky([list(r) for r in block])
+        out |= {n: " + ".join(f"{factor[i][j]!r}::DOUBLE * z{ns[j]}" for j in range(i + 1)) for i, n in enumerate(ns)}
+    return f"SELECT ID, {', '.join(f'round({out[n]}, 8) AS ETA{n}' for n in numbers)} FROM ({z})"
+
+
+def _eps_sql() -> str:
+    variances = list(models.ORAL_ABSTINENT.sigma.values())
+    z = _normals("(SELECT ID, OBS FROM fx_obs)", {f"z{i}": _uniform(2, "ID", "OBS", str(i)) for i in (1, 2)})
+    return f"SELECT ID, OBS, {', '.join(f'round({math.sqrt(v)!r}::DOUBLE * z{i}, 8) AS EPS{i}' for i, v in enumerate(variances, 1))} FROM ({z})"
 
 
-_COUNT = "SELECT count(*) AS n, "
 ORACLES = {
     "superposed_oral": query(f"""
 SELECT ID, REC, round((CENT + {_I['CENT']}) / V1, 6) AS IPRECA, round((PARA + {_I['PARA']}) / V2, 6) AS IPREPX,
@@ -245,26 +265,12 @@ FROM pairs JOIN params USING (ID)""", "fx_event", params=_INHALED_PARAMS, pairs=
         "CENT": _central(_T0), "PARA": _metabolite(_T0, "CL * FPX", "0.308"),
         "THPH": _metabolite(_T0, "CL * FTP", "0.313"),
         "THBR": _metabolite(_T0, "CL * FTB", "0.117")}, "0")),
-    "typical_regimen": query(f"""
-SELECT ID, time,
-  round(({_H['CENT']} + CASE WHEN time >= TLAG THEN 100 * ({_central('(time - TLAG)')}) ELSE 0 END
-    + CASE WHEN time >= 8 + TLAG THEN 100 * ({_central('(time - (8 + TLAG))')}) ELSE 0 END) / V1, 6) AS IPRECA,
-  round(({_H['PARA']} + CASE WHEN time >= TLAG THEN 100 * ({_metabolite('(time - TLAG)', 'form', 'kp')}) ELSE 0 END
-    + CASE WHEN time >= 8 + TLAG THEN 100 * ({_metabolite('(time - (8 + TLAG))', 'form', 'kp')}) ELSE 0 END) / V2, 6) AS IPREPX
-FROM params CROSS JOIN (VALUES {_TIMES}) t(time)""", "fx_subject", params=_params(
-        3.55, "SELECT ID + 1 AS ID FROM fx_subject", table=_HABITUAL)),
-    "truncated_weights": query(
-        "SELECT count(*) AS n, count(*) AS n_inside, count(*) AS n_log_inside, "
-        f"{_ok('mean_ok', 'distinct_ok')} FROM fx_subject", "fx_subject"),
-    "truncated_pairs": query(
-        "SELECT count(*) AS n, count(*) AS n_inside, count(*) AS n_log_inside, "
-        f"{_ok('corr_ok')} FROM fx_subject", "fx_subject"),
-    "drawn_etas": query(_COUNT + _ok(*[
-        f"ETA{k}_{c}_ok" for k in range(1, 12) for c in ("mean", "var")]) + " FROM fx_subject",
-        "fx_subject"),
-    "drawn_eta_blocks": query(_COUNT + _ok(*[
-        f"cov_{a}_{b}_ok" for a, b in ((2, 2), (3, 2), (3, 3), (4, 4), (5, 4), (5, 5), (6, 4),
-                                       (6, 5), (6, 6))]) + " FROM fx_subject", "fx_subject"),
-    "drawn_eps": query(_COUNT + _ok(*[
-        f"EPS{k}_{c}_ok" for k in (1, 2) for c in ("mean", "var")]) + " FROM fx_obs", "fx_obs"),
+    "truncated_weights": query(_weights_sql(), "fx_subject"),
+    "truncated_pairs": query("""
+SELECT a.ID, round(WT, 8) AS WT, round(HT, 8) AS HT, round(CL, 8) AS CL, round(V, 8) AS V
+FROM (SELECT * FROM tries_WT WHERE good) a JOIN (SELECT * FROM tries_CL WHERE good) b USING (ID)""", "fx_subject", recursive=True,
+                             tries_WT=_redrawn(1, *_BODY, False, ["WT", "HT"]), tries_CL=_redrawn(9, *_RARE, True, ["CL", "V"])),
+    "drawn_etas": query(_etas_sql(models.ORAL_ABSTINENT), "fx_subject"),
+    "drawn_eta_blocks": query(_etas_sql(models.INHALED), "fx_subject"),
+    "drawn_eps": query(_eps_sql(), "fx_obs"),
 }

@@ -42,9 +42,27 @@ def test_log_moments(spark):
 
 
 def test_impossible_range_is_an_error(spark):
-    out = population.trunc_normal(ids(spark, 3), "ID", "w", 0, 1, 50, 60, max_attempts=20)
-    with pytest.raises(Exception, match="no draw inside the range"):
-        out.collect()
+    with pytest.raises(ValueError, match="no draw inside the range"):
+        population.trunc_normal(ids(spark, 3), "ID", "w", 0, 1, 50, 60)
+    with pytest.raises(ValueError, match="no draw inside the range"):
+        population.trunc_mvnormal(ids(spark, 3), "ID", ["a"], [0], [1], [[1]], [50], [60])
+
+
+def test_rare_ranges(spark):
+    r = population.trunc_normal(ids(spark, 500), "ID", "w", 0, 1, 8.0, 9.0).agg(F.min("w"), F.max("w"), F.count("w")).first()
+    assert 8 <= r[0] < 8.01 and 8.4 < r[1] <= 9 and r[2] == 500
+    out = population.trunc_mvnormal(ids(spark, 400), "ID", ["a", "b"], [0, 0], [1, 1], [[1, 0.5], [0.5, 1]], [1, 1], [5, 5])
+    r = out.agg(F.min("a"), F.min("b"), F.count("a"), F.count_distinct("ID")).first()
+    assert r[0] >= 1 and r[1] >= 1 and (r[2], r[3]) == (400, 400)
+
+
+def test_normal_quantile(spark):
+    from statistics import NormalDist
+
+    from studyframe.functions.draws import normal_quantile
+    probs = [1e-300, 1e-30, 1e-12, 1e-5, 0.01, 0.075, 0.0750001, 0.3, 0.5, 0.7, 0.925, 0.99, 1 - 1e-9]
+    got = spark.createDataFrame([(p,) for p in probs], "p double").select(normal_quantile(F.col("p")).alias("z")).collect()
+    assert all(r.z == pytest.approx(NormalDist().inv_cdf(p), rel=1e-13, abs=1e-15) for r, p in zip(got, probs))
 
 
 def test_correlation_needs_matching_shapes(spark):
