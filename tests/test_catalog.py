@@ -9,7 +9,6 @@ import __spark_entry__ as entry
 from studyframe.plans import catalog
 
 QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
-LONG = {"plasma_check", "plasma_check_observed", "urine_check"}  # minutes each; run by the entry's own checks
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +21,7 @@ def test_matches_sql(spark, con, name):
     assert compare(QUERIES[name](spark, SF_DIR), con, ORACLES[name]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - LONG))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     frame = QUERIES[name](spark, SF_DIR)
     assert frame.columns and frame.count() > 0
