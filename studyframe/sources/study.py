@@ -37,16 +37,14 @@ def write_result(df: DataFrame, path: str, partition: str | None = "SIM",
                  mode: str = "overwrite") -> None:
     """Persist a result; partitioned by replicate so that later jobs prune directories.
 
-    Rows are hashed to files by replicate and a salt, which keeps the file count bounded
-    without sending a whole replicate through one task.
+    Rows are dealt by replicate and rebalanced by size: adaptive execution splits a large
+    replicate into several files and lets small ones share a task, so the number of files
+    follows the data.
     """
-    writer = df
     if partition:
-        salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != partition]), F.lit(8))
-        writer = df.repartition(F.col(partition), salt)
-        writer.write.mode(mode).partitionBy(partition).parquet(path)
+        df.hint("rebalance", F.col(partition)).write.mode(mode).partitionBy(partition).parquet(path)
     else:
-        writer.write.mode(mode).parquet(path)
+        df.write.mode(mode).parquet(path)
 
 
 def read_result(spark: SparkSession, path: str) -> DataFrame:

@@ -183,6 +183,18 @@ def test_sources(spark, tmp_path):
     assert back.count() == sim.count()
     plan = back.filter("SIM = 2")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(SIM" in plan
+    files = back.inputFiles()
+    read = lambda df: [r[0] for r in df.select(F.input_file_name()).distinct().collect()]
+    one = read(back.filter("SIM = 2"))
+    assert len(files) == 3 and len(one) == 1 and "SIM=2" in one[0]
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2KB")
+    try:
+        study.write_result(sim, out)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    back = study.read_result(spark, out)
+    assert back.count() == sim.count() and len(back.inputFiles()) > 6
+    assert all("SIM=2" in f for f in read(back.filter("SIM = 2")))
     parquet = str(tmp_path / "sheet")
     df.write.parquet(parquet)
     assert rows(study.read_study(spark, parquet, "parquet")) == rows(df)
