@@ -51,6 +51,12 @@ def observed_percentiles(spark, d):
     return rounded(vpc.observed_percentiles(obs, ["TRT", "bin"], "CALAMT"), ["TRT", "bin"])
 
 
+def plasma_percentile_check(spark, d):
+    """Bands and observed percentiles side by side, at each bin's mean time."""
+    out = vpc.percentile_check(fx.observed(spark, d), fx.simulated(spark, d), "CALAMT", "P", "time", "TRT", CUTS)
+    return rounded(out, ["TRT", "bin"], 9)
+
+
 def quantile_intervals(spark, d):
     probs = {"lo95": .025, "lo90": .05, "median": .5, "hi90": .95, "hi95": .975}
     return rounded(exact_quantiles(fx.observed(spark, d), ["TRT"], "CALAMT", probs), ["TRT"])
@@ -124,7 +130,7 @@ QUERIES = {
     "count_by_arm": count_by_arm, "mean_at_time": mean_at_time, "bin_means": bin_means,
     "nearest_to_half": nearest_to_half, "all_but_nearest": all_but_nearest,
     "gaussian_m2ll": gaussian_m2ll, "box_stats": box_stats, "box_stats_log10": box_stats_log10,
-    "dot_counts": dot_counts,
+    "dot_counts": dot_counts, "plasma_percentile_check": plasma_percentile_check,
 }
 
 _BIN = """CASE WHEN time < 2 THEN 1 WHEN time < 5 THEN 2 WHEN time < 8 THEN 3 WHEN time < 12 THEN 4
@@ -168,6 +174,13 @@ SELECT dTIME, TRT, {_band('med', 'median', 0.025)}, {_band('p05', 'lo90', 0.025)
 FROM (SELECT SIM, OBS % 12 + 1 AS dTIME, TRT, {_three('P')} FROM fx_sim GROUP BY SIM, OBS % 12 + 1, TRT) GROUP BY dTIME, TRT""", "fx_sim"),
     "observed_percentiles": query(f"""
 SELECT TRT, bin, {_ROUND_THREE} FROM (SELECT TRT, bin, {_three('CALAMT')} FROM (SELECT *, {_BIN} AS bin FROM fx_obs) GROUP BY TRT, bin)""", "fx_obs"),
+    "plasma_percentile_check": query(f"""
+SELECT TRT, bin, {_band('med', 'median', 0.025)}, {_band('p05', 'lo90', 0.025)}, {_band('p95', 'hi90', 0.025)}, count(*) AS n_sim,
+  any_value(o.obs_median) AS obs_median, any_value(o.obs_p05) AS obs_p05, any_value(o.obs_p95) AS obs_p95, any_value(o.n_obs) AS n_obs, any_value(t.bin_time) AS bin_time
+FROM (SELECT SIM, TRT, bin, {_three('P')} FROM (SELECT *, {_BIN} AS bin FROM fx_sim) GROUP BY SIM, TRT, bin)
+JOIN (SELECT TRT, bin, round(median, 9) AS obs_median, round(lo90, 9) AS obs_p05, round(hi90, 9) AS obs_p95, n AS n_obs
+  FROM (SELECT TRT, bin, {_three('CALAMT')} FROM (SELECT *, {_BIN} AS bin FROM fx_obs) GROUP BY TRT, bin)) o USING (TRT, bin)
+JOIN (SELECT bin, round(avg(time), 9) AS bin_time FROM (SELECT *, {_BIN} AS bin FROM fx_obs) GROUP BY bin) t USING (bin) GROUP BY TRT, bin""".replace(", 10)", ", 9)"), "fx_sim", "fx_obs"),
     "quantile_intervals": query("SELECT TRT, " + ", ".join(
         f"round(quantile_cont(CALAMT, {p}), 10) AS {n}" for n, p in
         (("lo95", .025), ("lo90", .05), ("median", .5), ("hi90", .95), ("hi95", .975)))
