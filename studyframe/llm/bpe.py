@@ -3,7 +3,7 @@
 The leaves of the tree hold the merge rank of each adjacent pair together with its place; an inner node holds the lesser of its children, so the root is the
 leftmost pair of lowest rank. A merge changes three leaves and the nodes above them, and merging ends when the root holds no mergeable pair: a run of n
 characters without a space costs n log n. Short runs, which are nearly all, are merged many at a time: their trees are the rows of one array. Runs are
-independent of each other, so Spark splits the documents and each worker keeps a bounded store of runs it has seen. The vocabulary file (fixed, about 2 MB) is read once on the driver and broadcast.
+independent of each other, so Spark splits the documents and each worker keeps a store of runs it has seen, bounded in bytes, and reads, encodes and hands on a bounded piece of a batch at a time. The vocabulary file (fixed, about 2 MB) is read once on the driver and broadcast.
 
 Cases: null and empty texts have no tokens and decode to the empty text; texts may be of any length; repeated rows and tied ids each give a row; an empty
 table gives no rows; other columns are ignored.
@@ -11,7 +11,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
+import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -19,14 +19,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Runs a worker remembers before the older half goes.
-STORE = 600_000
-#: Characters of text whose new runs are merged together.
-CHUNK = 2_000_000
+#: Bytes of runs a worker remembers; beyond half of it, the older half goes.
+STORE_BYTES = 32 << 20
+#: Bytes a run takes besides its letters, ids and token texts.
+RUN_BYTES = 320
+#: Characters of text that are read, encoded and handed on together.
+CHUNK = 500_000
 #: Tree widths for runs merged together; longer ones have a tree each.
 WIDTHS = (8, 16, 32, 64)
 _NONE = 1 << 62
@@ -65,6 +68,7 @@ class Vocabulary:
         self.letters = byte_letters()
         self.store: dict[str, Run] = {}
         self.older: dict[str, Run] = {}
+        self.held = 0
         pairs = np.array([a << 20 | b for a, b in self.merges], np.int64)
         order = np.argsort(pairs)
         self._pairs = pairs[order]
@@ -210,15 +214,16 @@ class Vocabulary:
             fresh = {x: self.older[x] for x in new.intersection(self.older)}
             fresh |= {x: (np.int32(self.added[x]).tobytes(), x) for x in new.intersection(self.added)}
             rest = sorted(new.difference(fresh))
+            fresh.update(zip(rest, self.encode_runs(rest), strict=True))
             self.store |= fresh
-            self.store.update(zip(rest, self.encode_runs(rest), strict=True))
             for r in runs:
                 yield list(map(self.store.__getitem__, r))
             for x in rest:
                 if len(x) > 100:
-                    del self.store[x]
-            if len(self.store) > STORE // 2:
-                self.older, self.store = self.store, {}
+                    del self.store[x], fresh[x]
+            self.held += sum(RUN_BYTES + 2 * len(x) + len(r[0]) + len(r[1]) for x, r in fresh.items())
+            if self.held > STORE_BYTES // 2:
+                self.older, self.store, self.held = self.store, {}, 0
             at = end
 
     def encode(self, text: str) -> list[Run]:
@@ -232,35 +237,43 @@ class Vocabulary:
 _last: dict[str, Vocabulary] = {}
 
 
-def _encoder(shared):
+def _encoder(shared, hashed: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if shared.value not in _last:
             _last.clear()
             _last[shared.value] = Vocabulary(shared.value)
         vocabulary = _last[shared.value]
-        gc.disable()  # millions of small lasting objects and no cycles: looking for some takes a fifth of the time
         for batch in batches:
-            ids, decoded = [], []
-            for runs in vocabulary.encode_all([t or "" for t in batch.column("text").to_pylist()]):
-                ids.append(b"".join([r[0] for r in runs]))
-                decoded.append(" ".join([r[1] for r in runs]))
-            sizes = np.cumsum([0, *[len(x) // 4 for x in ids]])
-            flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
-            yield pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat), pa.array(decoded, pa.string())],
-                                  ["doc_id", "ids", "decoded"])
+            at, sizes = 0, pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + CHUNK, "right")))
+                texts = batch.column("text").slice(at, end - at).to_pylist()
+                ids, decoded = [], []
+                for runs in vocabulary.encode_all([t or "" for t in texts]):
+                    ids.append(b"".join([r[0] for r in runs]))
+                    text = " ".join([r[1] for r in runs])
+                    decoded.append(hashlib.sha256(text.encode()).hexdigest() if hashed else text)
+                starts = np.cumsum([0, *[len(x) // 4 for x in ids]])
+                flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
+                yield pa.record_batch([batch.column("doc_id").slice(at, end - at), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), flat), pa.array(decoded, pa.string())],
+                                      ["doc_id", "ids", "decoded"])
+                at = end
     return encode
 
 
-def encode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
-    """(doc_id, ids, decoded): the token ids of each whole text, and what they decode to."""
+def encode(docs: DataFrame, vocabulary_path: str, hashed: bool = False) -> DataFrame:
+    """(doc_id, ids, decoded): the token ids of each whole text, and what they decode to; with ``hashed``, only its sha256 as ``decoded_sha256``."""
     with open(vocabulary_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_encoder(shared), f"doc_id {kind}, ids array<int>, decoded string")
+    found = docs.select("doc_id", "text").mapInArrow(_encoder(shared, hashed), f"doc_id {kind}, ids array<int>, decoded string")
+    return found.withColumnRenamed("decoded", "decoded_sha256") if hashed else found
 
 
 def digests(encoded: DataFrame, *more: str) -> DataFrame:
     """Token counts and hashes of the ids and of the decoded text, and the columns named in ``more``."""
+    decoded = F.col("decoded_sha256") if "decoded_sha256" in encoded.columns else F.sha2(F.col("decoded"), 256)
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                           F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-                          F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), *more)
+                          decoded.alias("decoded_sha256"), *more)

@@ -30,7 +30,7 @@ def vocabulary_path() -> str:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path()))
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path(), hashed=True))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "links")
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,3 +46,13 @@ def test_null_empty_ties_and_clashing_names(spark):
     got = sorted(bpe.digests(bpe.encode(docs, PATH)).select("doc_id", "n_tokens").collect(), key=str)
     assert [tuple(r) for r in got] == [(1, 0), (1, 0), (2, 2), (2, 2), (None, 1)]
     assert bpe.encode(docs.limit(0), PATH).count() == 0
+    assert sorted(bpe.digests(bpe.encode(docs, PATH)).collect(), key=str) == sorted(bpe.digests(bpe.encode(docs, PATH, hashed=True)).collect(), key=str)
+
+
+def test_small_pieces_and_store(monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK", 40)
+    monkeypatch.setattr(bpe, "STORE_BYTES", 4000)
+    own = bpe.Vocabulary(open(PATH, encoding="utf-8").read())
+    texts = [f"some words {k % 7} come again and {k * k} again " + "z" * (k % 120) for k in range(200)]
+    got = [[int(i) for run in runs for i in np.frombuffer(run[0], np.int32)] for runs in own.encode_all(texts)]
+    assert got == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts] and len(own.store) + len(own.older) < 60
