@@ -1,8 +1,8 @@
-"""Connected components of an edge table, as joins and grouped minima."""
+"""Connected components of an edge table, as joins and grouped minima; and pairs to try between the classes of overlapping groups."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from studyframe.llm.work import handed_off
@@ -26,3 +26,31 @@ def components(edges: DataFrame) -> DataFrame:
         if after.filter("root <> new").isEmpty():
             return roots
         roots = after.select("vertex", F.col("new").alias("root"))
+
+
+def apart(lists: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """The rows of ``lists`` (key, node, ...) whose key still holds several classes, with the ``class`` of each node; ``classes`` has (node, class), other nodes are their own."""
+    own = lists.select("*", F.col("node").alias("class"))
+    if classes is not None:
+        known = classes.select("node", F.col("class").alias("_class"))
+        own = lists.join(known, "node", "left").select(*lists.columns, F.coalesce("_class", "node").alias("class"))
+    several = own.groupBy("key").agg(F.min("class").alias("one"), F.max("class").alias("two")).filter("one <> two").select("key")
+    return handed_off(own.join(several, "key"), "lists")
+
+
+def led(lists: DataFrame, turn: int, fits: Column | None = None, first: str | None = None) -> DataFrame:
+    """(a, b): each node with at most one node of another class, the least leader of its keys in the order of this turn.
+
+    ``fits`` is a condition on the row and on ``lead``, the leader's row. Nodes with the least ``first`` lead before others. One pair a node joins a group of any size to its leader.
+    """
+    place = F.xxhash64("node", F.lit(turn))
+    rest = [c for c in lists.columns if c not in ("key", "node", first)]
+    leader = lists.groupBy("key").agg(F.min(F.struct(*([first] if first else []), place.alias("place"), F.col("node"), *rest)).alias("lead"))
+    met = lists.join(leader, "key").filter(F.col("class") != F.col("lead.class"))
+    met = (met if fits is None else met.filter(fits)).groupBy("node").agg(F.min("lead").alias("lead"))
+    return pairs(met.select("node", F.col("lead.node").alias("near")))
+
+
+def pairs(found: DataFrame) -> DataFrame:
+    """(a, b) with a < b from (node, near), each once."""
+    return found.filter("node <> near").select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b")).distinct()

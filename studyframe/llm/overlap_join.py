@@ -6,11 +6,14 @@ t(a, b) = ceil(4 (a + b) / 9) elements, and their sizes differ by a quarter at m
 Small sets (below the boundary): for each size b that a partner may have, a set writes all its subsets of t(a, b) elements under the pair of sizes. All sets of the one size that write a
 subset link with all of the other size that write it, so linking each to the least of the other side joins them all, with work linear in the subsets.
 
-Large sets (and small ones that can link with them): inverted lists. In the order of the element hashes a set writes its first K(s) = floor(s/5) + 1 + floor(s/10) elements. At most s/5 of
-its elements are missing in a partner, so the written parts of two linked sets share at least 1 + floor(min(s)/10) elements; hence each can leave out the most frequent of them and keep
-K(s) - floor(0.8 s / 10) in order of frequency. Lists of one node end here. The scan of the others knows the class that a node has already been joined to: first every
-node tries one leader, the least of its lists in an order that changes each round, until few tries succeed; then each node meets a few delegates of every larger class of its lists, eight times more each round, until
-a round has met all of them. So a group of thousands of near copies needs about one comparison a node, and still no link between two classes is lost. Every link is verified on the whole sets.
+Large sets (and small ones that can link with them): inverted lists, in two steps. First, in the order of the element hashes a set writes K(s) = floor(s/5) + 1 + floor(s/10) elements. At most
+s/5 of its elements are missing in a partner, so the written parts of two linked sets share at least 1 + floor(min(s)/10) elements: a set of whose written elements fewer are in another
+set is out. Second, of the sets left all elements are counted, and sets with more than s/5 elements of their own go, again and again until few do. The rest are scanned over the lists
+of their rarest floor(s/5) + 1 elements, less those of their own; a pair meets in a list only if enough elements follow in both sets.
+
+The scan knows the class that a node has already been joined to: first every node tries one leader, that of its lists with the fewest elements of its own, until few tries succeed; then each node
+meets a few delegates of every larger class of its lists, 64 times more each round, until a round has met all of them. So a group of thousands of near copies needs about one comparison a
+node, and still no link between two classes is lost. Every link is verified on the whole sets.
 
 The boundary is the size at which subsets would cost more rows than lists, over the sizes that the table has (at most MOST_SMALL).
 
@@ -32,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from studyframe.llm import tokens
-from studyframe.llm.components import components
+from studyframe.llm.components import apart, components, led, pairs
 from studyframe.llm.work import handed_off
 
 WIDTH = 5
@@ -40,12 +43,14 @@ WIDTH = 5
 MOST_SMALL = 20
 #: Rows that a node of a list costs: written, counted, met again.
 LIST_COST = 3
-#: Nodes whose texts are picked by a broadcast; more are joined.
-BROADCAST_ROWS = 1_000_000
+#: Hashes (8 bytes each) that are broadcast to pick texts; more are joined.
+BROADCAST_ROWS = 2_000_000
 #: A round of leaders is followed by another one while more than one try in so many succeeds.
-WORTH = 16
+WORTH = 4
+#: Where nodes of different classes have fewer meetings than this for each row of the lists, all of them are compared.
+FEW = 4
 #: Delegates of a class in a list grow by this factor.
-GROWTH = 8
+GROWTH = 64
 _U = np.uint64
 
 
@@ -157,59 +162,68 @@ def _small_pairs(keys: DataFrame) -> DataFrame:
                                        F.min(F.when(F.col("size") >= F.col("other"), F.col("node"))).alias("upper"),
                                        F.min("node").alias("one"), F.max("node").alias("two")).filter("one <> two AND lower IS NOT NULL AND upper IS NOT NULL")
     target = F.when(F.col("size") < F.col("other"), F.col("upper")).otherwise(F.col("lower"))
-    return _pairs(subsets.join(least.select("key", "lower", "upper"), "key").select("node", target.alias("near")))
-
-
-def _pairs(found: DataFrame) -> DataFrame:
-    return found.filter("node <> near").select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b")).distinct()
+    return pairs(subsets.join(least.select("key", "lower", "upper"), "key").select("node", target.alias("near")))
 
 
-def _lists(keys: DataFrame) -> DataFrame:
-    """(key, node, size): inverted lists of the rarest elements each set must keep; lists of a single node are gone."""
-    rows = keys.filter("other = 0").groupBy("key", "node").agg(F.max("size").alias("size"))
-    rows = handed_off(rows, "elements")
-    often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    met = rows.join(often, "key").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("order"))
-    own = F.floor(F.col("size") / 5) + 1 + F.floor(F.col("size") / 10) - F.size("order")
-    keep = F.floor(F.col("size") / 5) + 1 + F.floor(F.col("size") / 10) - F.floor(F.ceil(F.col("size") * 4 / 5) / 10) - own
-    kept = met.withColumn("keep", keep.cast("int")).filter("keep > 0").select("node", "size", F.explode(F.slice("order", F.lit(1), F.col("keep"))).alias("x"))
-    return kept.select(F.col("x.key").alias("key"), "node", "size")
+def _candidates(keys: DataFrame) -> DataFrame:
+    """Nodes enough of whose written elements are in another set, too."""
+    rows = keys.filter("other = 0").select("key", "node", "size")
+    shared = rows.groupBy("key").agg(F.min("node").alias("one"), F.max("node").alias("two")).filter("one <> two").select("key")
+    shared = handed_off(shared, "shared")
+    # one way at every size: the shared elements grow with the table
+    found = rows.join(shared.hint("merge"), "key").groupBy("node", "size").agg(F.count_distinct("key").alias("n"))
+    return found.filter(F.col("n") > F.floor(F.ceil(F.col("size") * 4 / 5) / 10)).select("node")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _elements(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, node, size, often): elements that another node has, too, of the nodes that can still link, with how many nodes have them."""
+    rows = handed_off(sets.join(nodes, "node").select("node", "size", F.explode("members").alias("key")), "elements")
+    while True:
+        often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+        met = handed_off(rows.select("key", "node", "size").join(often, "key"), "elements")
+        able = met.groupBy("node", "size").agg(F.count(F.lit(1)).alias("n"))
+        able = handed_off(able.withColumn("stays", F.col("n") >= F.col("size") - F.floor(F.col("size") / 5)), "able")
+        gone = able.filter("NOT stays").count()
+        if not gone:
+            return met
+        rows = handed_off(met.join(able.filter("stays").select("node"), "node", "left_semi"), "elements")
+        if gone * WORTH * WORTH <= able.count() - gone:
+            often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+            return rows.drop("often").join(often, "key")
+
+
+def _lists(elements: DataFrame) -> DataFrame:
+    """(key, node, size, left, own): inverted lists of the rarest elements of each node; ``left`` elements of the node follow from here on, and ``own`` are in no other node."""
+    order = F.sort_array(F.collect_list(F.struct("often", "key")))
+    met = elements.groupBy("node", "size").agg(order.alias("order")).withColumn("own", F.col("size") - F.size("order"))
+    keep = (F.floor(F.col("size") / 5) + 1 - F.col("own")).cast("int")
+    kept = met.withColumn("keep", keep).filter("keep > 0").select("node", "size", "own", F.size("order").alias("n"), F.posexplode(F.slice("order", F.lit(1), F.col("keep"))).alias("at", "x"))
+    return kept.select(F.col("x.key").alias("key"), "node", "size", (F.col("n") - F.col("at")).alias("left"), F.floor(8 * F.col("own") / F.col("size")).alias("own"))
+
+
+def _enough(left: str, other_left: str, other_size: str) -> Column:
+    """Whether sets that first meet here can share as many elements as a link needs."""
+    return F.least(left, other_left) >= F.ceil(4 * (F.col("size") + F.col(other_size)) / 9)
+
+
+def _linked(tried: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("members").alias(f"members_{x}"))
     common = F.size(F.array_intersect("members_a", "members_b"))
     both = F.size("members_a") + F.size("members_b")
-    return (pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", common.alias("common"), both.alias("sizes"))
+    return (tried.join(side("b"), "b").join(side("a"), "a").select("a", "b", common.alias("common"), both.alias("sizes"))
             .filter("100 * common >= 80 * (sizes - common)").select("a", "b"))
 
 
-def _between(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The lists that still hold several classes, with the class of each node."""
-    placed = lists.withColumn("class", F.col("node")) if roots is None else lists.join(
-        roots.select(F.col("vertex").alias("node"), "root"), "node", "left").withColumn("class", F.coalesce("root", "node")).select("key", "node", "size", "class")
-    apart = placed.groupBy("key").agg(F.min("class").alias("one"), F.max("class").alias("two")).filter("one <> two").select("key")
-    return handed_off(placed.join(apart, "key"), "lists")
-
-
-def _led(lists: DataFrame, turn: int) -> DataFrame:
-    """Each node with the least leader of its lists, in the order of this turn; pairs of nodes that can differ."""
-    place = F.xxhash64("node", F.lit(turn))
-    leader = lists.groupBy("key").agg(F.min(F.struct(place.alias("place"), F.col("node").alias("near"), F.col("class").alias("of"), F.col("size").alias("wide"))).alias("lead"))
-    met = lists.join(leader, "key").filter("class <> lead.of AND 5 * least(size, lead.wide) >= 4 * greatest(size, lead.wide)")
-    return _pairs(met.groupBy("node").agg(F.min("lead").alias("lead")).select("node", F.col("lead.near").alias("near")))
-
-
 def _delegated(lists: DataFrame, turn: int, most: int) -> DataFrame:
     """Each node with about ``most`` nodes of every class of its lists that is larger there; with all of them where a class has no more."""
     place = F.xxhash64("node", F.lit(turn))
     counts = lists.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     sized = lists.join(counts, ["key", "class"])
     chosen = (F.col("n") <= most) | (place == F.col("first")) | (F.pmod(place, F.col("n")) < most)
-    sent = sized.filter(chosen).select("key", F.col("node").alias("near"), F.col("size").alias("wide"), F.struct("n", "class").alias("larger"))
-    fit = (F.struct("n", "class") < F.col("larger")) & (5 * F.least("size", "wide") >= 4 * F.greatest("size", "wide"))
-    return _pairs(sized.join(sent, (sized["key"] == sent["key"]) & fit).select("node", "near"))
+    sent = sized.filter(chosen).select("key", F.col("node").alias("near"), F.col("size").alias("wide"), F.col("left").alias("behind"), F.struct("n", "class").alias("larger"))
+    fit = (F.struct("n", "class") < F.col("larger")) & _enough("left", "behind", "wide")
+    return pairs(sized.join(sent, (sized["key"] == sent["key"]) & fit).select("node", "near"))
 
 
 def links(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -217,34 +231,44 @@ def links(docs: DataFrame, members: DataFrame) -> DataFrame:
     sizes = members.filter(F.col("n_shingles").between(1, MOST_SMALL)).groupBy("n_shingles").count().collect()  # at most MOST_SMALL rows
     small = boundary({r["n_shingles"]: r["count"] for r in sizes})
     keys = handed_off(docs.select("text").mapInArrow(_writer(small), "key long, node long, size int, other int"), "keys")
-    pairs = handed_off(_small_pairs(keys), "pairs")
-    lists = _between(_lists(keys), None)
-    wanted = lists.select("node").unionAll(pairs.select(F.col("a").alias("node"))).unionAll(pairs.select("b")).distinct()
+    small_pairs = handed_off(_small_pairs(keys), "pairs")
+    nodes = handed_off(_candidates(keys), "candidates")
+    wanted = nodes.unionAll(small_pairs.select("a")).unionAll(small_pairs.select("b")).distinct()
     bodies = handed_off(members.join(wanted, "node").groupBy("node").agg(F.min("body").alias("body")).select("body").distinct(), "wanted")
     picked = docs.select("text", _body().alias("body")).join(F.broadcast(bodies) if bodies.count() <= BROADCAST_ROWS else bodies, "body", "left_semi")
     sets = handed_off(picked.select("text").mapInArrow(_whole, "node long, size int, members array<long>").dropDuplicates(["node"]), "sets")
-    found = handed_off(_linked(pairs, sets), "links")
-    turn, most, roots = 0, 0, None
+    found = handed_off(_linked(small_pairs, sets), "links")
+    lists = apart(_lists(_elements(sets, nodes)), None)
+    fresh, turn, most = found, 0, 0
     while True:
-        if not found.isEmpty():
-            roots = components(found)
-            lists = _between(lists, roots)
-        widest = lists.groupBy("key", "class").count().agg(F.max("count")).first()[0]
-        if widest is None:
+        if not fresh.isEmpty():
+            lists = _merged(lists, fresh)
+        by_class = lists.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("widest"), F.sum(F.col("n") * F.col("n")).alias("within"))
+        left = by_class.agg(F.max("widest").alias("widest"), F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("within")) / 2).alias("meetings")).first()
+        if left["widest"] is None:
             return found
-        if most:
-            tried = handed_off(_delegated(lists, turn, most), "pairs")
-        else:
-            tried = handed_off(_led(lists, turn), "pairs")
+        if turn and left["meetings"] <= FEW * left["rows"]:
+            most = left["widest"]  # so few that all can meet
+        tried = handed_off(_delegated(lists, turn, most) if most else led(lists, turn, _enough("left", "lead.left", "lead.size"), "own"), "pairs")
         fresh = handed_off(_linked(tried, sets), "links")
-        found = handed_off(found.unionAll(fresh).distinct(), "links")
-        if most >= widest:
+        found = found.unionAll(fresh)
+        if most >= left["widest"]:
             return found
         if most or fresh.count() * WORTH <= tried.count():
             most = most * GROWTH or 1
         turn += 1
 
 
+def _merged(lists: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The lists with the classes that the fresh links join made one; lists of one class are gone."""
+    classes = handed_off(lists.select("node", "class").distinct(), "classes")
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("class").alias(f"class_{x}"))
+    edges = fresh.join(side("a"), "a").join(side("b"), "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+    roots = components(edges)
+    named = classes.join(roots, classes["class"] == roots["vertex"], "left").select("node", F.coalesce("root", "class").alias("class"))
+    return apart(lists.drop("class"), named)
+
+
 def components_of(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest id of the documents that links reach."""
     kind = docs.schema["doc_id"].dataType.simpleString()
