@@ -7,8 +7,8 @@ empty the rank bound is doubled. Two sets agree in a coordinate with the probabi
 their counts).
 
 Joining. ROWS coordinates make a band, BANDS bands a document; a pair at 0.8 is missed with probability (1 - 0.8^6)^42 < 3e-6. Exact copies are one node
-by their digest. Within a bucket every node is compared with the bucket's leader, which joins a group of any size in one step. Buckets that still hold
-several classes are compared across classes, so that no link between classes is lost: small buckets pair by pair, larger ones by a prefix join on rare shingles, so
+by their digest. In rounds, every node is compared with one leader, the least of its buckets in an order that changes each round, and only buckets that still hold several classes go on;
+this joins a group of any size with about one comparison a node. When few tries succeed, the buckets left are compared across classes, so that no link between classes is lost: small buckets pair by pair, larger ones by a prefix join on rare shingles, so
 that no group is expanded into its pairs. Links are verified on the shingle sets. Classes are the connected components.
 
 Words are white-space words, A-Z in lower case. Cases: null counts as the empty text; all empty texts are copies of each other; texts under five words have no shingles and only exact copies;
@@ -24,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from studyframe.llm import tokens
-from studyframe.llm.components import components
+from studyframe.llm.components import apart, components, led, pairs
 from studyframe.llm.work import handed_off, spare
 
 WIDTH, LEAST = 5, 0.8
@@ -36,6 +37,10 @@ K = ROWS * BANDS
 BROADCAST_ROWS = 1_000_000
 #: Buckets of more nodes are compared across classes by prefixes.
 PAIRED = 24
+#: Another round of leaders follows while more than one try in so many succeeds.
+WORTH = 16
+#: Parts of a class when its values are joined to its texts.
+SPLIT = 16
 _CELLS = 400_000
 _EMPTY = np.uint64(2**64 - 1)
 _U = np.uint64
@@ -105,7 +110,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = np.broadcast_to(salts, sig.shape[:2]).copy()
             for j in range(ROWS):
                 h = tokens.mix(h ^ sig[:, :, j])
-            yield pa.record_batch([pa.array(h.reshape(-1).view(np.int64)), pa.array(np.repeat(nodes[some + part.first], BANDS))], ["bucket", "node"])
+            yield pa.record_batch([pa.array(h.reshape(-1).view(np.int64)), pa.array(np.repeat(nodes[some + part.first], BANDS))], ["key", "node"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +165,7 @@ def _by_prefix(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     they do, what is left behind it in both must still be enough. A copy with too many edits of its own begins with shingles that no other has, so it
     meets nobody.
     """
-    full = nodes.join(sets, "node").select("node", "class", "members").mapInArrow(_explode, "node long, class string, size int, shingle long")
+    full = nodes.join(sets, "node").select("node", "class", "members").mapInArrow(_explode, "node long, class long, size int, shingle long")
     full = handed_off(full, "shingles")
     often = full.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
     # a shingle of its own counts for the order only by its number
@@ -181,46 +186,58 @@ def _by_prefix(nodes: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame) -> DataFrame:
-    """(a, b, similarity): verified links between different texts, by digest. They join each class; pairs within a joined group aren't all listed."""
+    """(a, b, similarity): verified links between different texts, by digest. They join each class; pairs within a joined group aren't listed."""
     nodes = _nodes(docs)
-    rows = nodes.select("node", "text").mapInArrow(_bands, "bucket long, node long").withColumn("turned", F.col("node").bitwiseXOR(F.xxhash64("bucket")))
-    bounds = rows.groupBy("bucket").agg(F.min("turned").alias("low"), F.max("turned").alias("high")).filter("low <> high").select("bucket", "low")
-    # only buckets with more than one text go on; each has a leader of its own, so a group isn't led by one odd copy in all its buckets
-    shared = rows.join(bounds, "bucket").select("bucket", F.col("low").bitwiseXOR(F.xxhash64("bucket")).alias("leader"), "node").distinct()
-    shared = handed_off(shared, "buckets")
-    pair = F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")
-    star = handed_off(shared.filter("node <> leader").select(*pair).distinct(), "stars")
+    rows = handed_off(nodes.select("node", "text").mapInArrow(_bands, "key long, node long"), "bands")
+    # only buckets with more than one text go on
+    several = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key")
+    shared = handed_off(rows.join(several, "key").distinct(), "buckets")
     wanted = handed_off(shared.select("node").distinct(), "wanted")
     picked = nodes.select("node", "digest", "text").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "node", "left_semi")
     sets = picked.mapInArrow(_sets, "node long, digest string, members binary")
     sets = handed_off(sets.groupBy("node", "digest").agg(F.min("members").alias("members")), "sets")
-    first = handed_off(_links(star, sets), "links")
-    names = sets.select("node", "digest")
-    roots = components(first.select("a", "b"))
-    classes = names.join(roots, names["digest"] == roots["vertex"], "left").groupBy("node").agg(F.min(F.coalesce("root", "digest")).alias("class"))
-    placed = shared.join(classes, "node")
-    mixed = placed.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("n")).filter("x <> y").select("bucket", "n")
-    left = handed_off(placed.join(mixed, "bucket").select("bucket", "node", "class", "n"), "mixed")
+    names, found, turn = sets.select("node", "digest"), None, 0
+    left = apart(shared, None)
+    while True:
+        tried = handed_off(led(left, turn), "stars")
+        fresh = handed_off(_links(tried, sets), "links")
+        found = fresh if found is None else handed_off(found.unionAll(fresh).distinct(), "links")
+        roots = components(found.select("a", "b"))
+        # the least node of a class names it among the nodes
+        placed = names.join(roots, names["digest"] == roots["vertex"]).select("node", "root")
+        least = placed.groupBy("root").agg(F.min("node").alias("class"))
+        left = apart(left.drop("class"), _spread_join(placed, least, "root", "node").groupBy("node").agg(F.min("class").alias("class")))
+        if fresh.count() * WORTH <= tried.count():
+            break
+        turn += 1
+    left = left.join(left.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
     few = left.filter(F.col("n") <= PAIRED)
-    other = few.select("bucket", F.col("node").alias("b"), F.col("class").alias("class_b"))
-    across = (few.withColumnRenamed("node", "a").join(other, "bucket").filter("class < class_b")
-              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    other = few.select("key", F.col("node").alias("near"), F.col("class").alias("class_b"))
+    across = pairs(few.join(other, "key").filter("class < class_b").select("node", "near"))
     many = left.filter(F.col("n") > PAIRED).select("node", "class").distinct()
-    across = across.unionAll(_by_prefix(many, sets)).distinct().join(star, ["a", "b"], "left_anti")
-    return first.unionAll(handed_off(_links(across, sets), "links"))
+    across = across.unionAll(_by_prefix(many, sets)).distinct()
+    return found.unionAll(handed_off(_links(across, sets), "links")).distinct()
+
+
+def _spread_join(rows: DataFrame, values: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join on a key that very many rows may share: each value is copied to SPLIT parts and the rows are dealt to them by ``by``."""
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(SPLIT)).cast("int"))
+    copies = values.withColumn("_part", F.explode(F.array(*[F.lit(k) for k in range(SPLIT)])))
+    return dealt.join(copies, [key, "_part"]).drop("_part")
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, class_size, links, digest, root): one row per document. class_id is the least id of the class, which other classes may have, too; root names
-    one class. links counts the verified links of the document's text."""
-    found = handed_off(links(docs), "links")
-    roots = components(found.select("a", "b"))
-    degree = found.select(F.col("a").alias("vertex")).unionAll(found.select("b")).groupBy("vertex").agg(F.count("*").alias("links"))
-    members = _nodes(docs).select("doc_id", "digest")
-    placed = members.join(roots.join(degree, "vertex", "left"), F.col("digest") == F.col("vertex"), "left")
-    placed = placed.select("doc_id", "digest", F.coalesce("root", "digest").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    by_class = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return placed.join(by_class, "root").select("doc_id", "class_id", "class_size", "links", "digest", "root")
+    """(doc_id, class_id, class_size, digest, root): one row per document. class_id is the least id of the class, which other classes may have, too; root names one class."""
+    roots = components(links(docs).select("a", "b"))
+    members = handed_off(_nodes(docs).select("doc_id", "digest"), "members")
+    texts = members.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    joined = handed_off(texts.join(roots, F.col("digest") == F.col("vertex")).select("digest", "root", "least", "n"), "joined")
+    by_root = joined.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
+    placed = _spread_join(joined.select("digest", "root"), by_root, "root", "digest").select("digest", "root", "class_id", "class_size")
+    named = texts.join(placed, "digest", "left").select(
+        "digest", F.coalesce("root", "digest").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("class_size", "n").alias("class_size"))
+    return members.join(named, "digest").select("doc_id", "class_id", "class_size", "digest", "root")
 
 
 def kept(docs: DataFrame) -> DataFrame:
@@ -242,5 +259,8 @@ def kept(docs: DataFrame) -> DataFrame:
     if many.isEmpty():
         return left.select(*columns)
     single = left.join(many, same_id & same_text, "left_anti")
-    of_many = left.join(many, same_id & same_text, "left_semi").dropDuplicates(["doc_id", digest])
+    # rows with one id and text may differ in other columns: the first of them as JSON stays
+    nr = spare(full, "_nr")
+    first = Window.partitionBy(F.col("doc_id"), F.col(digest)).orderBy(F.to_json(F.struct(*columns)))
+    of_many = left.join(many, same_id & same_text, "left_semi").withColumn(nr, F.row_number().over(first)).filter(F.col(nr) == 1)
     return single.select(*columns).unionAll(of_many.select(*columns))

@@ -16,8 +16,8 @@ def shingles(text):
     return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
 
 
-def brute(docs):
-    """Least id of the class of each row, from all pairs."""
+def grouped(docs):
+    """Class of each row and least id of each class, from all pairs."""
     sets = [shingles(t) for _, t in docs]
     parent = list(range(len(docs)))
 
@@ -33,7 +33,13 @@ def brute(docs):
     ids = {}
     for k, (i, _) in enumerate(docs):
         ids[find(k)] = min([x for x in (ids.get(find(k)), i) if x is not None], default=None)
-    return sorted([(docs[k][0], ids[find(k)]) for k in range(len(docs))], key=str)
+    return [find(k) for k in range(len(docs))], ids
+
+
+def brute(docs):
+    """Id and least id of the class of each row."""
+    found, ids = grouped(docs)
+    return sorted([(d[0], ids[c]) for d, c in zip(docs, found, strict=True)], key=str)
 
 
 def test_agreement_is_the_weighted_similarity():
@@ -69,16 +75,17 @@ def planted():
     return docs
 
 
-@pytest.mark.parametrize("paired", [24, 0])
-def test_classes_equal_all_pairs(spark, planted, monkeypatch, paired):
+@pytest.mark.parametrize("paired, broadcast", [(24, 10**6), (0, 0)])
+def test_classes_equal_all_pairs(spark, planted, monkeypatch, paired, broadcast):
     monkeypatch.setattr(neardup, "PAIRED", paired)
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", broadcast)
     frame = spark.createDataFrame([(i, t, "x") for i, t in planted], "doc_id long, text string, node string")
     got = neardup.classes(frame).collect()
     assert sorted([(r["doc_id"], r["class_id"]) for r in got], key=str) == brute(planted)
     kept = neardup.kept(frame)
     assert kept.columns == frame.columns
     rows = kept.collect()
-    assert sorted(r["doc_id"] for r in rows) == sorted({c for _, c in brute(planted)})
+    assert sorted([r["doc_id"] for r in rows], key=str) == sorted(grouped(planted)[1].values(), key=str)
     assert neardup.classes(frame.limit(0)).count() == 0 and neardup.kept(frame.limit(0)).count() == 0
 
 
@@ -103,3 +110,18 @@ def test_unlike_classes_of_one_id_are_all_kept(spark):
     got = [tuple(r) for r in rows if r["text"] not in (texts[4], near)]
     assert sorted(got, key=str) == sorted(alone, key=str)
     assert [r["doc_id"] for r in rows if r["text"] in (texts[4], near)] == [8]
+
+
+def test_of_rows_that_differ_elsewhere_the_first_stays(spark):
+    text = "one text of a handful of words"
+    rows = [(1, text, "b"), (1, text, "a"), (1, text, "c"), (2, text, "0")]
+    for order in (rows, rows[::-1]):
+        assert [tuple(r) for r in neardup.kept(spark.createDataFrame(order, "doc_id long, text string, source string").coalesce(1)).collect()] == [(1, text, "a")]
+
+
+def test_long_texts(spark):
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    near = [w if k % 100 else "other" for k, w in enumerate(words)]
+    docs = [(3, " ".join(words)), (2, " ".join(near)), (1, " ".join(words[:40_000]))]
+    assert sorted((r["doc_id"], r["class_id"], r["class_size"]) for r in neardup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()) == [(1, 1, 1), (2, 2, 2), (3, 2, 2)]
