@@ -37,7 +37,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids): the token ids of each document, with their digests."""
-    found = bpe.encode(docs, vocabulary_path())
+    found = bpe.encode(docs, vocabulary_path(), hashed=True)
     return bpe.digests(found, "ids")
 
 
