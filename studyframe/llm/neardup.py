@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from studyframe.llm import tokens
-from studyframe.llm.components import apart, components, led, pairs
+from studyframe.llm.components import apart, components, led
 from studyframe.llm.work import handed_off, spare
 
 WIDTH, LEAST = 5, 0.8
@@ -134,7 +134,8 @@ def similarity(a: bytes, b: bytes) -> float:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         got = [similarity(a.as_py(), b.as_py()) for a, b in zip(batch.column("members_a"), batch.column("members_b"), strict=True)]
-        out = pa.record_batch([batch.column("digest_a"), batch.column("digest_b"), pa.array(got, pa.float64())], ["a", "b", "similarity"])
+        more = [c for c in ("class_a", "class_b") if c in batch.schema.names]
+        out = pa.record_batch([batch.column("digest_a"), batch.column("digest_b"), pa.array(got, pa.float64()), *map(batch.column, more)], ["a", "b", "similarity", *more])
         yield out.filter(pa.array([x >= LEAST for x in got], pa.bool_()))
 
 
@@ -145,8 +146,16 @@ def _nodes(docs: DataFrame) -> DataFrame:
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     side = lambda x: sets.select(F.col("node").alias(x), F.col("digest").alias(f"digest_{x}"), F.col("members").alias(f"members_{x}"))
-    return (pairs.join(side("b"), "b").join(side("a"), "a").select("digest_a", "digest_b", "members_a", "members_b")
-            .mapInArrow(_verify, "a string, b string, similarity double"))
+    more = [c for c in ("class_a", "class_b") if c in pairs.columns]
+    return (pairs.join(side("b"), "b").join(side("a"), "a").select("digest_a", "digest_b", "members_a", "members_b", *more)
+            .mapInArrow(_verify, ", ".join(["a string, b string, similarity double", *[f"{c} long" for c in more]])))
+
+
+def _across(met: DataFrame, node: str, kind: str, other: str, other_kind: str) -> DataFrame:
+    """(a, b, class_a, class_b): pairs of nodes of two classes, each once."""
+    x, y = (F.struct(F.col(n).alias("n"), F.col(c).alias("c")) for n, c in ((node, kind), (other, other_kind)))
+    both = met.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
+    return both.select(F.col("x.n").alias("a"), F.col("y.n").alias("b"), F.col("x.c").alias("class_a"), F.col("y.c").alias("class_b")).distinct()
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +168,7 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _by_prefix(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): pairs of nodes of different classes that can have the wanted similarity, for groups too large to compare pair by pair.
+    """(a, b, class_a, class_b): pairs of nodes of different classes that can have the wanted similarity, for groups too large to compare pair by pair.
 
     Each set is ordered by how many sets have a shingle, rare ones first. Two sets at the threshold share a shingle among the first fifth of both; and where
     they do, what is left behind it in both must still be enough. A copy with too many edits of its own begins with shingles that no other has, so it
@@ -181,8 +190,7 @@ def _by_prefix(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     prefix = handed_off(prefix.join(main, "shingle"), "prefixes")
     other = prefix.filter("class <> main").select("shingle", *[F.col(c).alias(f"_{c}") for c in ("node", "class", "size", "left")])
     enough = F.least("left", "_left") >= F.ceil((F.col("size") + F.col("_size")) * (LEAST / (1 + LEAST)) - 1e-9)
-    return (prefix.join(other, (prefix["shingle"] == other["shingle"]) & (F.col("class") != F.col("_class")) & enough)
-            .select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct())
+    return _across(prefix.join(other, (prefix["shingle"] == other["shingle"]) & (F.col("class") != F.col("_class")) & enough), "node", "class", "_node", "_class")
 
 
 def links(docs: DataFrame) -> DataFrame:
@@ -213,10 +221,12 @@ def links(docs: DataFrame) -> DataFrame:
     left = left.join(left.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
     few = left.filter(F.col("n") <= PAIRED)
     other = few.select("key", F.col("node").alias("near"), F.col("class").alias("class_b"))
-    across = pairs(few.join(other, "key").filter("class < class_b").select("node", "near"))
+    across = _across(few.join(other, "key").filter("class < class_b"), "node", "class", "near", "class_b")
     many = left.filter(F.col("n") > PAIRED).select("node", "class").distinct()
     across = across.unionAll(_by_prefix(many, sets)).distinct()
-    return found.unionAll(handed_off(_links(across, sets), "links")).distinct()
+    # two classes are joined by one link, however many there are between them
+    linked = _links(across, sets).groupBy(F.least("class_a", "class_b"), F.greatest("class_a", "class_b")).agg(F.min(F.struct("a", "b", "similarity")).alias("x"))
+    return found.unionAll(handed_off(linked.select("x.*"), "links")).distinct()
 
 
 def _spread_join(rows: DataFrame, values: DataFrame, key: str, by: str) -> DataFrame:
