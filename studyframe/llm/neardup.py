@@ -7,8 +7,9 @@ empty the rank bound is doubled. Two sets agree in a coordinate with the probabi
 their counts).
 
 Joining. ROWS coordinates make a band, BANDS bands a document; a pair at 0.8 is missed with probability (1 - 0.8^6)^42 < 3e-6. Exact copies are one node
-by their digest. In rounds, every node is compared with one leader, the least of its buckets in an order that changes each round, and only buckets that still hold several classes go on;
-this joins a group of any size with about one comparison a node. When few tries succeed, the buckets left are compared across classes, so that no link between classes is lost: small buckets pair by pair, larger ones by a prefix join on rare shingles, so
+by their digest. In rounds, every node is compared with one leader of its buckets, and only buckets that still hold several classes go on. The leader is first the node with the
+most bucket mates, which is the copy with the fewest edits of its own, and in later rounds drawn by that number; so a group of any size is joined with about one comparison a node, also where most of its copies are
+too far from each other. When few tries succeed, the buckets left are compared across classes, so that no link between classes is lost: small buckets pair by pair, larger ones by a prefix join on rare shingles, so
 that no group is expanded into its pairs. Links are verified on the shingle sets. Classes are the connected components.
 
 Words are white-space words, A-Z in lower case. Cases: null counts as the empty text; all empty texts are copies of each other; texts under five words have no shingles and only exact copies;
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,7 +39,9 @@ BROADCAST_ROWS = 1_000_000
 #: Buckets of more nodes are compared across classes by prefixes.
 PAIRED = 24
 #: Another round of leaders follows while more than one try in so many succeeds.
-WORTH = 16
+WORTH = 4
+#: In rounds after the first a leader is drawn with its number of bucket mates to this power.
+CENTRED = 4
 #: Parts of a class when its values are joined to its texts.
 SPLIT = 16
 _CELLS = 400_000
@@ -193,6 +196,20 @@ def _by_prefix(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return _across(prefix.join(other, (prefix["shingle"] == other["shingle"]) & (F.col("class") != F.col("_class")) & enough), "node", "class", "_node", "_class")
 
 
+def _with_mates(shared: DataFrame) -> DataFrame:
+    """The rows of ``shared`` (key, node) with ``mates``: how many rows the buckets of the node hold."""
+    size = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return shared.join(shared.join(size, "key").groupBy("node").agg(F.sum("n").alias("mates")), "node")
+
+
+def _standing(turn: int) -> Column:
+    """Nodes with the least value lead: those with the most mates, and after the first turn by a draw weighted with them."""
+    if not turn:
+        return -F.col("mates").cast("double")
+    draw = (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
+    return -F.log(draw) / F.pow("mates", F.lit(float(CENTRED)))
+
+
 def links(docs: DataFrame) -> DataFrame:
     """(a, b, similarity): verified links between different texts, by digest. They join each class; pairs within a joined group aren't listed."""
     nodes = _nodes(docs)
@@ -205,9 +222,9 @@ def links(docs: DataFrame) -> DataFrame:
     sets = picked.mapInArrow(_sets, "node long, digest string, members binary")
     sets = handed_off(sets.groupBy("node", "digest").agg(F.min("members").alias("members")), "sets")
     names, found, turn = sets.select("node", "digest"), None, 0
-    left = apart(shared, None)
+    left = apart(handed_off(_with_mates(shared), "mates"), None)
     while True:
-        tried = handed_off(led(left, turn), "stars")
+        tried = handed_off(led(left.withColumn("standing", _standing(turn)), turn, first="standing"), "stars")
         fresh = handed_off(_links(tried, sets), "links")
         found = fresh if found is None else handed_off(found.unionAll(fresh).distinct(), "links")
         roots = components(found.select("a", "b"))

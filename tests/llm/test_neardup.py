@@ -89,6 +89,21 @@ def test_classes_equal_all_pairs(spark, planted, monkeypatch, paired, broadcast)
     assert neardup.classes(frame.limit(0)).count() == 0 and neardup.kept(frame.limit(0)).count() == 0
 
 
+def test_links_of_a_large_group_do_not_grow_with_its_pairs(spark):
+    """Copies of one text at 0.85 to it and mostly under 0.8 to each other; the hub joins them, so links are about as many as texts."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(300)]
+    docs = [(0, " ".join(base))]
+    for k in range(1, 160):
+        own = list(base)
+        for at in rng.sample(range(0, 300, 6), rng.choice([3, 4, 5])):
+            own[at] = f"x{k}"
+        docs.append((k, " ".join(own)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted([(r["doc_id"], r["class_id"]) for r in neardup.classes(frame).collect()], key=str) == brute(docs)
+    assert neardup.links(frame).count() < 2 * len(docs)
+
+
 def test_documents_equal_all_pairs(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     got = sorted([(r["doc_id"], r["class_id"]) for r in neardup.classes(docs).collect()], key=str)
