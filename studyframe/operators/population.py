@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from studyframe.functions.draws import normal, normal_probability, normal_quantile, uniform
 from studyframe.functions.kernel import LinearModel
+from studyframe.operators.grids import spread
 from studyframe.session import cut_lineage
 
 #: Draws tried in the first pass over the keys, and at most in a later one.
@@ -85,8 +86,7 @@ def trunc_mvnormal(ids: DataFrame, key: str, outs: list[str], mean: list[float],
         if not normal_probability(b / sigma[i]) > normal_probability(a / sigma[i]):
             raise ValueError(f"{outs[i]}: no draw inside the range, it has no probability")
 
-    def draw(attempt: Column) -> Column:
-        z = [normal(seed, F.col(key), attempt, F.lit(j)) for j in range(size)]
+    def moved(z: Column) -> Column:
         coords = []
         for i in range(size):
             x = sum((factor[i][j] * z[j] for j in range(i + 1)), start=F.lit(0.0))
@@ -99,15 +99,21 @@ def trunc_mvnormal(ids: DataFrame, key: str, outs: list[str], mean: list[float],
             ok = ok & d[i].between(low[i], high[i])
         return ok
 
+    def draw(found: Column, attempt: Column) -> Column:
+        # each lambda binds its value, so every uniform is hashed once and nothing is drawn after the first success
+        z = F.transform(F.array(*[uniform(seed, F.col(key), attempt, F.lit(j)) for j in range(size)]), normal_quantile)
+        return F.coalesce(found, F.get(F.filter(F.transform(F.array(z), moved), accepted), F.lit(0)))
+
     done, todo, attempt, more = [], ids.drop(*outs), 0, FIRST_ATTEMPTS
     while True:
-        draws = F.transform(F.sequence(F.lit(attempt), F.lit(attempt + more - 1)), draw)
-        tried = cut_lineage(todo.withColumn("_draw", F.get(F.filter(draws, accepted), F.lit(0))))
+        tries = F.sequence(F.lit(attempt), F.lit(attempt + more - 1))
+        tried = cut_lineage(todo.withColumn("_draw", F.aggregate(tries, F.lit(None).cast("array<double>"), draw)))
         done.append(tried.filter("_draw IS NOT NULL"))
-        todo = tried.filter("_draw IS NULL").drop("_draw")
-        if todo.isEmpty():
+        left = tried.filter("_draw IS NULL").drop("_draw")
+        if left.isEmpty():
             break
-        attempt, more = attempt + more, min(4 * more, MOST_ATTEMPTS)
+        # the first pass may have come from one small file, whose rows can still need very many draws
+        todo, attempt, more = spread(left), attempt + more, min(4 * more, MOST_ATTEMPTS)
     found = reduce(DataFrame.unionByName, done)
     return found.withColumns({name: F.col("_draw")[i] for i, name in enumerate(outs)}).drop("_draw")
 

@@ -56,6 +56,16 @@ def test_rare_ranges(spark):
     assert r[0] >= 1 and r[1] >= 1 and (r[2], r[3]) == (400, 400)
 
 
+def test_each_uniform_of_a_draw_is_hashed_once(spark, monkeypatch):
+    plans, cut = [], population.cut_lineage
+    monkeypatch.setattr(population, "cut_lineage", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), cut(df))[1])
+    out = population.trunc_mvnormal(ids(spark, 200).coalesce(1), "ID", ["a", "b"], [0, 0], [1, 1], [[1, 0.5], [0.5, 1]], [1, 1], [5, 5])
+    assert out.count() == 200 and len(plans) > 1
+    assert all(plan.count("md5(") == 2 for plan in plans)  # one for each coordinate
+    # rows of a scan with few splits are dealt to all cores before the next tries
+    assert all("Repartition" in plan for plan in plans[1:2])
+
+
 def test_normal_quantile(spark):
     from statistics import NormalDist
 
