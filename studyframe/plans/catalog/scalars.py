@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from studyframe.functions import covariates, models, responses
 from studyframe.operators import population
-from studyframe.operators.grouping import attach_group
+from studyframe.operators.grouping import attach_few, first_place
 from studyframe.operators.summaries import apply_scale_limits
 from studyframe.plans.catalog.reference_sql import query
 from studyframe.sources import fixtures as fx
@@ -83,8 +83,7 @@ def residual_errors(spark, d):
 def derived_responses(spark, d):
     """Percent of the subject's first value, concentrations, ratios and totals."""
     rows = fx.simulated(spark, d)
-    first = F.min_by(F.struct(F.col("P").alias("v")), F.struct("tick", "OBS"))["v"]
-    based = attach_group(rows, ["SIM", "ID"], P_0=first)
+    based = attach_few(rows, ["SIM", "ID"], P_0=F.min_by("P", first_place("tick", "OBS")))
     return based.select(
         "SIM", "OBS", F.round(responses.percent_of(F.col("P"), F.col("P_0")), 8).alias("CAchange"),
         F.round(responses.concentration(F.col("P"), F.lit(responses.PLASMA_VOLUME_L)), 9).alias("CaC"),

@@ -6,7 +6,7 @@ import pytest
 from conftest import close, rows
 from pyspark.sql import functions as F
 
-from studyframe.operators import attach, events, summaries, vpc
+from studyframe.operators import attach, events, grouping, summaries, vpc
 from studyframe.operators.grouping import join_on, ordinal, running_sums
 from studyframe.operators.quantiles import exact_quantiles
 
@@ -147,3 +147,17 @@ def test_first_per_is_limited_before_the_shuffle(spark):
     from studyframe.sources import fixtures as fx
     out = first_per(fx.study(spark, SF_DIR), ["ID_ORIG"], [F.asc_nulls_last("DATST")])
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_place_is_the_order_of_both_and_needs_no_sort(spark):
+    far = 2 ** 63 - 1
+    data = [(1, 5, 1, 10.0), (1, 4, far, 11.0), (1, 4, -far - 1, 12.0), (2, None, 7, 13.0), (2, 0, -far, 14.0), (2, None, None, None),
+            (3, 1, None, 15.0), (3, 1, -far - 1, 16.0), (None, 9, 3, 17.0), (None, 9, 2, 18.0)]
+    df = spark.createDataFrame(data, "g long, tick long, OBS long, P double")
+    packed = grouping.attach_few(df, ["g"], first=F.min_by("P", grouping.first_place("tick", "OBS")))
+    plain = grouping.attach_group(df, ["g"], first=F.min_by(F.struct(F.col("P").alias("v")), F.struct("tick", "OBS"))["v"])
+    assert rows(packed) == rows(plain) and {r["g"]: r["first"] for r in packed.collect()} == {1: 12.0, 2: None, 3: 15.0, None: 18.0}
+    plan = df.groupBy("g").agg(F.min_by("P", grouping.first_place("tick", "OBS")))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort " not in plan
