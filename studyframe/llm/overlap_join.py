@@ -8,7 +8,8 @@ subset link with all of the other size that write it, so linking each to the lea
 
 Large sets (and small ones that can link with them): inverted lists, in two steps. First, in the order of the element hashes a set writes K(s) = floor(s/5) + 1 + floor(s/10) elements. At most
 s/5 of its elements are missing in a partner, so the written parts of two linked sets share at least 1 + floor(min(s)/10) elements: a set of whose written elements fewer are in another
-set is out. Second, of the sets left all elements are counted, and sets with more than s/5 elements of their own go, again and again until few do. The rest are scanned over the lists
+set is out. The written elements cross the network once, ordered by element; what a task sees of an element in several sets at once it counts itself and sends two of its nodes, the least and the greatest,
+so a passage in very many texts makes few rows. Second, of the sets left all elements are counted, and sets with more than s/5 elements of their own go, again and again until few do. The rest are scanned over the lists
 of their rarest floor(s/5) + 1 elements, less those of their own; a pair meets in a list only if enough elements follow in both sets.
 
 The scan knows the class that a node has already been joined to: first every node tries one leader, that of its lists with the fewest elements of its own, until few tries succeed; then each node
@@ -31,12 +32,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from studyframe.llm import tokens
 from studyframe.llm.components import apart, components, led, pairs
-from studyframe.llm.work import handed_off
+from studyframe.llm.work import handed_off, let_go, shuffles_let_go
 
 WIDTH = 5
 #: Sizes from here on are always scanned.
@@ -103,11 +104,15 @@ def _named(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, nodes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+        sizes, nodes, small = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [np.zeros(0, _U)]
         for first, row, h in _sets(batch.column("text")):
             rows, _, size, node = _named(row, h)
             sizes[first + rows], nodes[first + rows] = size, node
-        yield pa.record_batch([batch.column("doc_id"), batch.column("body"), pa.array(sizes), pa.array(nodes, mask=sizes == 0)], ["doc_id", "body", "n_shingles", "node"])
+            small.append(h[np.repeat(size <= MOST_SMALL, size)])
+        ends = np.cumsum(np.where(sizes <= MOST_SMALL, sizes, 0))
+        elements = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(np.concatenate(small).view(np.int64)))
+        yield pa.record_batch([batch.column("doc_id"), batch.column("body"), pa.array(sizes), pa.array(nodes, mask=sizes == 0), elements],
+                              ["doc_id", "body", "n_shingles", "node", "elements"])
 
 
 def _subset_keys(elements: np.ndarray, lower: int, upper: int, t: int) -> np.ndarray:
@@ -117,29 +122,50 @@ def _subset_keys(elements: np.ndarray, lower: int, upper: int, t: int) -> np.nda
     return tokens.mix(spread[:, pick].sum(2, dtype=_U) ^ tokens.mix(np.array([lower << 32 | upper], _U)))
 
 
+def _subsets(small: int):
+    """Keys of the subsets of sets below the size ``small``, with the partner's size in ``other``."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes = batch.column("node").to_numpy(), batch.column("n_shingles").to_numpy()
+            for s in np.unique(sizes).tolist():
+                # copies in a batch are written once
+                at = np.flatnonzero(sizes == s)
+                at = at[np.unique(nodes[at], return_index=True)[1]]
+                node = nodes[at]
+                elements = batch.column("elements").take(pa.array(at)).flatten().to_numpy().view(_U).reshape(-1, s)
+                for b, t in partners(s):
+                    if b < small:
+                        keys = _subset_keys(elements, min(s, b), max(s, b), t)
+                        yield pa.record_batch([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(node, keys.shape[1])),
+                                               pa.array(np.full(keys.size, s, np.int32)), pa.array(np.full(keys.size, b, np.int32))], ["key", "node", "size", "other"])
+    return write
+
+
 def _writer(small: int):
-    """Keys of the sets: subsets below the size ``small`` (with the partner's size in ``other``), elements of inverted lists (other 0) from four fifths of it on."""
+    """Rows (key, node, size, n) of the sets from four fifths of the size ``small`` on: their written elements with n = 0; n > 0 is a count of elements that are in other nodes,
+    too, as seen here, which the least and the greatest of these nodes still write."""
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, row, h in _sets(batch.column("text")):
-                rows, start, size, node = _named(row, h)
-                # copies next to each other are written once
+                _, start, size, node = _named(row, h)
+                # copies in a slice are written once
                 some = np.unique(node, return_index=True)[1]
+                some = some[5 * size[some] >= 4 * small]
                 start, size, node = start[some], size[some], node[some]
-                scanned = np.flatnonzero(5 * size >= 4 * small)
-                n = written(size[scanned])
-                at = np.repeat(start[scanned] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                out = [(h[at], np.repeat(node[scanned], n), np.repeat(size[scanned], n), np.zeros(len(at), np.int64))]
-                for s in np.unique(size[size < small]).tolist():
-                    mine = np.flatnonzero(size == s)
-                    elements = h[start[mine][:, None] + np.arange(s)]
-                    for b, t in partners(s):
-                        if b < small:
-                            keys = _subset_keys(elements, min(s, b), max(s, b), t)
-                            out.append((keys.reshape(-1), np.repeat(node[mine], keys.shape[1]), np.full(keys.size, s), np.full(keys.size, b)))
-                key, node, size, other = (np.concatenate([x[k] for x in out]) for k in range(4))
-                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(node), pa.array(size.astype(np.int32)), pa.array(other.astype(np.int32))],
-                                      ["key", "node", "size", "other"])
+                n = written(size)
+                key = h[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                of = np.repeat(np.arange(len(node)), n)
+                # nodes are in order here, so a stable sort by key leaves those of a key in order
+                order = np.argsort(key, kind="stable")
+                key, of = key[order], of[order]
+                edge = np.ones(len(key) + 1, bool)
+                edge[1:-1] = key[1:] != key[:-1]
+                sent = edge[:-1] | edge[1:]
+                known = np.bincount(of[~sent], minlength=len(node))
+                more = np.flatnonzero(known)
+                every = np.concatenate([of[sent], more])
+                yield pa.record_batch([pa.array(np.concatenate([key[sent].view(np.int64), node[more]])), pa.array(node[every]), pa.array(size[every].astype(np.int32)),
+                                       pa.array(np.concatenate([np.zeros(sent.sum(), np.int32), known[more].astype(np.int32)]))], ["key", "node", "size", "n"])
     return write
 
 
@@ -155,9 +181,8 @@ def _body() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _small_pairs(keys: DataFrame) -> DataFrame:
+def _small_pairs(subsets: DataFrame) -> DataFrame:
     """Pairs that join all sets of a common subset: each with the least set of the other size."""
-    subsets = keys.filter("other > 0")
     least = subsets.groupBy("key").agg(F.min(F.when(F.col("size") <= F.col("other"), F.col("node"))).alias("lower"),
                                        F.min(F.when(F.col("size") >= F.col("other"), F.col("node"))).alias("upper"),
                                        F.min("node").alias("one"), F.max("node").alias("two")).filter("one <> two AND lower IS NOT NULL AND upper IS NOT NULL")
@@ -165,13 +190,13 @@ def _small_pairs(keys: DataFrame) -> DataFrame:
     return pairs(subsets.join(least.select("key", "lower", "upper"), "key").select("node", target.alias("near")))
 
 
-def _candidates(keys: DataFrame) -> DataFrame:
-    """Nodes enough of whose written elements are in another set, too."""
-    rows = keys.filter("other = 0").select("key", "node", "size")
-    shared = rows.groupBy("key").agg(F.min("node").alias("one"), F.max("node").alias("two")).filter("one <> two").select("key")
-    shared = handed_off(shared, "shared")
-    # one way at every size: the shared elements grow with the table
-    found = rows.join(shared.hint("merge"), "key").groupBy("node", "size").agg(F.count_distinct("key").alias("n"))
+def _candidates(rows: DataFrame) -> DataFrame:
+    """Nodes enough of whose written elements are in another set, too; a node with copies may count an element more than once and stay."""
+    by = Window.partitionBy("key", "n").orderBy("node")
+    seen = rows.select("node", "size", "n", F.lead("node").over(by).alias("after"), F.first("node").over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("first"))
+    # the last row of a node of an element stands for it
+    shared = seen.filter("n > 0 OR (after IS NULL OR after <> node) AND (after IS NOT NULL OR first <> node)")
+    found = shared.groupBy("node", "size").agg(F.sum(F.greatest("n", F.lit(1))).alias("n"))
     return found.filter(F.col("n") > F.floor(F.ceil(F.col("size") * 4 / 5) / 10)).select("node")
 
 
@@ -181,12 +206,14 @@ def _elements(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     while True:
         often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
         met = handed_off(rows.select("key", "node", "size").join(often, "key"), "elements")
+        let_go(rows)
         able = met.groupBy("node", "size").agg(F.count(F.lit(1)).alias("n"))
         able = handed_off(able.withColumn("stays", F.col("n") >= F.col("size") - F.floor(F.col("size") / 5)), "able")
         gone = able.filter("NOT stays").count()
         if not gone:
             return met
         rows = handed_off(met.join(able.filter("stays").select("node"), "node", "left_semi"), "elements")
+        let_go(met)
         if gone * WORTH * WORTH <= able.count() - gone:
             often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
             return rows.drop("often").join(often, "key")
@@ -207,8 +234,10 @@ def _enough(left: str, other_left: str, other_size: str) -> Column:
 
 
 def _linked(tried: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("members").alias(f"members_{x}"))
+    """The pairs (a, b) whose whole sets are similar enough; ``tried`` is a written table."""
+    few = tried.count() <= BROADCAST_ROWS  # then only the sets that are tried are shuffled
+    of = lambda x: sets.join(F.broadcast(tried.select(F.col(x).alias("node"))), "node", "left_semi") if few else sets
+    side = lambda x: of(x).select(F.col("node").alias(x), F.col("members").alias(f"members_{x}"))
     common = F.size(F.array_intersect("members_a", "members_b"))
     both = F.size("members_a") + F.size("members_b")
     return (tried.join(side("b"), "b").join(side("a"), "a").select("a", "b", common.alias("common"), both.alias("sizes"))
@@ -230,19 +259,24 @@ def links(docs: DataFrame, members: DataFrame) -> DataFrame:
     """(a, b): verified links between nodes that join each component; links within what is already joined aren't all listed."""
     sizes = members.filter(F.col("n_shingles").between(1, MOST_SMALL)).groupBy("n_shingles").count().collect()  # at most MOST_SMALL rows
     small = boundary({r["n_shingles"]: r["count"] for r in sizes})
-    keys = handed_off(docs.select("text").mapInArrow(_writer(small), "key long, node long, size int, other int"), "keys")
-    small_pairs = handed_off(_small_pairs(keys), "pairs")
-    nodes = handed_off(_candidates(keys), "candidates")
+    below = members.filter(F.col("n_shingles").between(1, small - 1)).select("node", "n_shingles", "elements")
+    subsets = handed_off(below.mapInArrow(_subsets(small), "key long, node long, size int, other int"), "subsets")
+    small_pairs = handed_off(_small_pairs(subsets), "pairs")
+    let_go(subsets)
+    nodes = handed_off(_candidates(docs.select("text").mapInArrow(_writer(small), "key long, node long, size int, n int")), "candidates")
     wanted = nodes.unionAll(small_pairs.select("a")).unionAll(small_pairs.select("b")).distinct()
     bodies = handed_off(members.join(wanted, "node").groupBy("node").agg(F.min("body").alias("body")).select("body").distinct(), "wanted")
     picked = docs.select("text", _body().alias("body")).join(F.broadcast(bodies) if bodies.count() <= BROADCAST_ROWS else bodies, "body", "left_semi")
     sets = handed_off(picked.select("text").mapInArrow(_whole, "node long, size int, members array<long>").dropDuplicates(["node"]), "sets")
     found = handed_off(_linked(small_pairs, sets), "links")
-    lists = apart(_lists(_elements(sets, nodes)), None)
+    elements = _elements(sets, nodes)
+    lists = apart(_lists(elements), None)
+    let_go(elements)
     fresh, turn, most = found, 0, 0
     while True:
         if not fresh.isEmpty():
-            lists = _merged(lists, fresh)
+            before, lists = lists, _merged(lists, fresh)
+            let_go(before)
         by_class = lists.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("widest"), F.sum(F.col("n") * F.col("n")).alias("within"))
         left = by_class.agg(F.max("widest").alias("widest"), F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("within")) / 2).alias("meetings")).first()
         if left["widest"] is None:
@@ -272,11 +306,12 @@ def _merged(lists: DataFrame, fresh: DataFrame) -> DataFrame:
 def components_of(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest id of the documents that links reach."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    members = handed_off(docs.select("doc_id", "text", _body().alias("body")).mapInArrow(_members, f"doc_id {kind}, body long, n_shingles long, node long"), "members")
-    roots = components(links(docs, members))
-    least = members.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
-    # joined nodes take the least id of their component
-    joined = handed_off(least.join(roots, F.col("node") == F.col("vertex")).select("node", "root", "least"), "joined")
-    by_root = joined.groupBy("root").agg(F.min("least").alias("component"))
+    with shuffles_let_go(docs.sparkSession):
+        members = handed_off(docs.select("doc_id", "text", _body().alias("body")).mapInArrow(_members, f"doc_id {kind}, body long, n_shingles long, node long, elements array<long>"), "members")
+        roots = components(links(docs, members))
+        least = members.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
+        # joined nodes take the least id of their component
+        joined = handed_off(least.join(roots, F.col("node") == F.col("vertex")).select("node", "root", "least"), "joined")
+        by_root = joined.groupBy("root").agg(F.min("least").alias("component"))
     ids = least.join(joined.select("node", "root").join(by_root, "root").select("node", "component"), "node", "left").select("node", F.coalesce("component", "least").alias("component_id"))
     return members.join(ids, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -1,11 +1,15 @@
 import itertools
+import pathlib
 import random
 import re
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from studyframe.llm import overlap_join, queries
 from studyframe.llm.work import table
+from studyframe.session import shared_folder
 
 SF = "/root/testdata/sf0.001"
 
@@ -121,3 +125,40 @@ def test_counts_of_shared_elements():
 def test_query_equals_brute_force(spark):
     docs = [(r["doc_id"], r["text"]) for r in table(spark, SF, "documents").collect()]
     assert sorted(map(tuple, queries.op13_ngram_jaccard_join(spark, SF).collect()), key=str) == brute(docs)
+
+
+def test_elements_counted_where_they_are_seen():
+    """A passage in all texts of a batch makes two rows a batch, and no node loses a shared element by that."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(40)]
+    texts = [" ".join(passage + [f"w{rng.randrange(900)}" for _ in range(20)]) for _ in range(90)] + [" ".join(passage)]
+    batches = [pa.record_batch([pa.array(texts[a:a + 40])], ["text"]) for a in range(0, len(texts), 40)]
+    rows = [r for b in overlap_join._writer(1)(iter(batches)) for r in b.to_pylist()]
+    plain = [r for t in texts for b in overlap_join._writer(1)(iter([pa.record_batch([pa.array([t])], ["text"])])) for r in b.to_pylist()]
+    assert all(r["n"] == 0 for r in plain) and len(rows) < len(plain) / 2
+
+    def counted(rows):
+        nodes, n = {}, {}
+        for r in rows:
+            if not r["n"]:
+                nodes.setdefault(r["key"], set()).add(r["node"])
+            else:
+                n[r["node"]] = n.get(r["node"], 0) + r["n"]
+        for some in nodes.values():
+            for x in some if len(some) > 1 else ():
+                n[x] = n.get(x, 0) + 1
+        return n
+
+    assert counted(rows) == counted(plain) and max(Counter(r["key"] for r in rows if not r["n"]).values()) <= 2 * len(batches)
+
+
+def test_tables_go_when_they_are_read(spark):
+    folder = pathlib.Path(shared_folder(spark))
+    before = set(folder.iterdir())
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(setting)
+    frame = spark.createDataFrame(planted(), "doc_id int, text string")
+    assert found(frame) == brute(planted())
+    left = Counter(p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before)
+    assert left["elements"] == left["keys"] == left["subsets"] == 0 and left["lists"] <= 1
+    assert spark.conf.get(setting) == kept
