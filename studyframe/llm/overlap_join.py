@@ -40,6 +40,10 @@ from studyframe.llm.components import apart, components, led, pairs
 from studyframe.llm.work import handed_off, let_go, shuffles_let_go
 
 WIDTH = 5
+#: Bytes of text that a task hashes at once: arrays of some 30 times as much exist meanwhile, in as many workers as there are cores.
+SLICE_BYTES = 1 << 19
+#: Written elements that a task gathers from slice to slice, so that it counts there what several of their texts share.
+GATHERED = 1 << 18
 #: Sizes from here on are always scanned.
 MOST_SMALL = 20
 #: Rows that a node of a list costs: written, counted, met again.
@@ -81,7 +85,7 @@ def written(s):
 
 def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row of a slice, then row and hash of each element, ordered by row and hash."""
-    for part in tokens.slices(column):
+    for part in tokens.slices(column, most=SLICE_BYTES):
         counts = np.bincount(part.row, minlength=len(part.offsets))
         some = [tokens.shingles(part.hash, part.row, WIDTH)]
         for n in range(1, WIDTH):
@@ -141,19 +145,35 @@ def _subsets(small: int):
     return write
 
 
+def _written(column: pa.Array, small: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Written elements of the sets from four fifths of the size ``small`` on, one set after the other, with each set's size and node; slices are gathered until they make GATHERED elements."""
+    held, most = [], 0
+    for _, row, h in _sets(column):
+        _, start, size, node = _named(row, h)
+        some = 5 * size >= 4 * small
+        start, size, node = start[some], size[some], node[some]
+        n = written(size)
+        held.append((h[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())], size, node))
+        most += n.sum()
+        if most >= GATHERED:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, most = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
 def _writer(small: int):
     """Rows (key, node, size, n) of the sets from four fifths of the size ``small`` on: their written elements with n = 0; n > 0 is a count of elements that are in other nodes,
     too, as seen here, which the least and the greatest of these nodes still write."""
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, row, h in _sets(batch.column("text")):
-                _, start, size, node = _named(row, h)
-                # copies in a slice are written once
-                some = np.unique(node, return_index=True)[1]
-                some = some[5 * size[some] >= 4 * small]
-                start, size, node = start[some], size[some], node[some]
+            for key, size, node in _written(batch.column("text"), small):
                 n = written(size)
-                key = h[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                start = np.cumsum(n) - n
+                # copies among them are written once
+                some = np.unique(node, return_index=True)[1]
+                start, size, node, n = start[some], size[some], node[some], n[some]
+                key = key[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())]
                 of = np.repeat(np.arange(len(node)), n)
                 # nodes are in order here, so a stable sort by key leaves those of a key in order
                 order = np.argsort(key, kind="stable")

@@ -59,7 +59,7 @@ class Words(NamedTuple):
     first: int
 
 
-def _hashed(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, first: int) -> Words:
+def _hashed(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, first: int, most: int) -> Words:
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
@@ -73,14 +73,15 @@ def _hashed(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, first: int
     start = np.flatnonzero(begins)
     if not len(start):
         return Words(np.zeros(0, np.uint64), start, start, data, offsets, first)
-    up, down = _power_tables(max(n, SLICE_BYTES))
+    up, down = _power_tables(max(n, most))
     values *= up[:n]
     h = mix(np.add.reduceat(values, start) * down[start])
     return Words(h, np.searchsorted(offsets, start, "right") - 1, start, data, offsets, first)
 
 
-def slices(column: pa.Array, table: np.ndarray = BY_SPACE) -> Iterator[Words]:
-    """The words of the column's texts (null: none), slice by slice of whole rows."""
+def slices(column: pa.Array, table: np.ndarray = BY_SPACE, most: int | None = None) -> Iterator[Words]:
+    """The words of the column's texts (null: none), slice by slice of whole rows: of up to ``most`` bytes (SLICE_BYTES unless given), or of one longer text."""
+    most = most or SLICE_BYTES
     column = pc.fill_null(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, "").cast(pa.large_string())
     if not len(column):
         return
@@ -89,8 +90,8 @@ def slices(column: pa.Array, table: np.ndarray = BY_SPACE) -> Iterator[Words]:
     data = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
     a = 0
     while a < len(column):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE_BYTES, "right")) - 1)
-        yield _hashed(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], table, a)
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
+        yield _hashed(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], table, a, most)
         a = b
 
 

@@ -2,12 +2,13 @@ import itertools
 import pathlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import pyarrow as pa
 import pytest
 
-from studyframe.llm import overlap_join, queries
+from studyframe.llm import overlap_join, queries, tokens
 from studyframe.llm.work import table
 from studyframe.session import shared_folder
 
@@ -162,3 +163,38 @@ def test_tables_go_when_they_are_read(spark):
     left = Counter(p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before)
     assert left["elements"] == left["keys"] == left["subsets"] == 0 and left["lists"] <= 1
     assert spark.conf.get(setting) == kept
+
+
+@pytest.mark.parametrize("step", [overlap_join._members, overlap_join._writer(1), overlap_join._whole])
+def test_memory_of_a_worker(monkeypatch, step):
+    """A batch of 8 MB of texts is hashed in parts, so that arrays many times its size never exist."""
+    monkeypatch.setattr(tokens, "_powers", [])
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(5000)]
+    texts = pa.array([" ".join(rng.choices(words, k=400)) for _ in range(3500)])
+    batch = pa.record_batch([pa.array(range(len(texts))), texts, pa.array(range(len(texts)))], ["doc_id", "text", "body"])
+    assert texts.nbytes > 8 * 10**6
+    tracemalloc.start()
+    try:
+        for _ in step(iter([batch])):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 64 * 10**6
+    finally:
+        tracemalloc.stop()
+
+
+def test_elements_are_gathered_from_slices(monkeypatch):
+    """However the texts of a batch are sliced, the same rows are written."""
+    rng = random.Random(17)
+    passage = [f"p{i}" for i in range(20)]
+    texts = [None, "", "a b"] + [" ".join(passage + rng.choices([f"w{i}" for i in range(40)], k=rng.choice([3, 20, 70]))) for _ in range(60)]
+    batch = pa.record_batch([pa.array(texts + texts[10:30])], ["text"])
+
+    def rows():
+        return sorted((r["key"], r["node"], r["size"], r["n"]) for b in overlap_join._writer(8)(iter([batch])) for r in b.to_pylist())
+
+    at_once = rows()
+    monkeypatch.setattr(overlap_join, "SLICE_BYTES", 100)
+    assert rows() == at_once and any(r[3] for r in at_once)
+    monkeypatch.setattr(overlap_join, "GATHERED", 1)
+    assert len(rows()) > len(at_once)
