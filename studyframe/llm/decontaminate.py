@@ -50,7 +50,7 @@ class Index:
         self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         by_part: dict[int, list[tuple[int, np.ndarray]]] = {}
         short: list[tuple[int, int]] = []
-        for part in tokens.slices(texts, tokens.BY_LETTERS):
+        for part in tokens.slices(texts, tokens.BY_LETTERS, tokens.SMALL_SLICE):
             s, row, _ = tokens.shingles(part.hash, part.row, WIDTH)
             for r in np.unique(row):
                 own = s[row == r]
@@ -70,7 +70,7 @@ class Index:
         """(row, item number, shingles in common) of the rows that hold an item."""
         lower = pc.utf8_lower(pc.fill_null(column, ""))
         found: set[tuple[int, int]] = set()
-        for part in tokens.slices(lower, tokens.BY_LETTERS):
+        for part in tokens.slices(lower, tokens.BY_LETTERS, tokens.SMALL_SLICE):
             s, row, _ = tokens.shingles(part.hash, part.row, WIDTH)
             if len(s):
                 for u, minima in self.parts.items():

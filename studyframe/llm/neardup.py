@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 from studyframe.llm import tokens
 from studyframe.llm.components import apart, components, led
-from studyframe.llm.work import handed_off, spare
+from studyframe.llm.work import handed_off, small_batches, spare
 
 WIDTH, LEAST = 5, 0.8
 ROWS, BANDS = 6, 42
@@ -44,7 +44,8 @@ WORTH = 4
 CENTRED = 4
 #: Parts of a class when its values are joined to its texts.
 SPLIT = 16
-_CELLS = 400_000
+#: Cells thrown at together.
+_CELLS = 50_000
 _EMPTY = np.uint64(2**64 - 1)
 _U = np.uint64
 
@@ -104,7 +105,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     salts = tokens.mix(np.arange(1, BANDS + 1, dtype=_U))
     for batch in batches:
         nodes = batch.column("node").to_numpy()
-        for part in tokens.slices(batch.column("text")):
+        for part in tokens.slices(batch.column("text"), most=tokens.SMALL_SLICE):
             s, row, _ = tokens.shingles(part.hash, part.row, WIDTH)
             if not len(s):
                 continue
@@ -119,7 +120,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[bytes] = [b""] * batch.num_rows
-        for part in tokens.slices(batch.column("text")):
+        for part in tokens.slices(batch.column("text"), most=tokens.SMALL_SLICE):
             s, row, _ = tokens.shingles(part.hash, part.row, WIDTH)
             rows, first = np.unique(row, return_index=True)
             for r, own in zip(rows, np.split(s, first[1:]), strict=False):
@@ -212,7 +213,11 @@ def _standing(turn: int) -> Column:
 
 def links(docs: DataFrame) -> DataFrame:
     """(a, b, similarity): verified links between different texts, by digest. They join each class; pairs within a joined group aren't listed."""
-    nodes = _nodes(docs)
+    with small_batches(docs.sparkSession):
+        return _verified(_nodes(docs))
+
+
+def _verified(nodes: DataFrame) -> DataFrame:
     rows = handed_off(nodes.select("node", "text").mapInArrow(_bands, "key long, node long"), "bands")
     # only buckets with more than one text go on
     several = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studyframe.llm import tokens
-from studyframe.llm.work import handed_off, spare
+from studyframe.llm.work import handed_off, small_batches, spare
 
 KINDS = ["email", "ip", "card", "phone"]
 #: A pattern needs so many known instances and this confidence; an instance this belief.
@@ -150,7 +150,7 @@ def _counter(shared):
         order, one, two = shared.value
         total = np.zeros(len(order), np.int64)
         for batch in batches:
-            for part in tokens.slices(batch.column("text")):
+            for part in tokens.slices(batch.column("text"), most=tokens.SMALL_SLICE):
                 pairs = tokens.shingles(part.hash, part.row, 2)[0]
                 for own, hashes in ((one, part.hash), (two, pairs)):
                     if len(own[0]) and len(hashes):
@@ -164,7 +164,7 @@ def _counter(shared):
 def _hash_index(patterns: list[str]) -> tuple[list[str], tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """The patterns, and the sorted hashes and numbers of those of one and of two words."""
     single, double = ([], []), ([], [])
-    for part in tokens.slices(pa.array(patterns, pa.string())):
+    for part in tokens.slices(pa.array(patterns, pa.string()), most=tokens.SMALL_SLICE):
         h2, row2, _ = tokens.shingles(part.hash, part.row, 2)
         pairs = set((row2 + part.first).tolist())
         for to, hs, rows in ((single, part.hash, part.row), (double, h2, row2)):
@@ -199,6 +199,11 @@ def _places(docs: DataFrame, patterns: DataFrame) -> DataFrame | None:
 
 def find(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(doc_id, row, base, more, seen) of every document, and the (kind, value) pairs of new instances (None if there are none)."""
+    with small_batches(docs.sparkSession):
+        return _bootstrapped(docs)
+
+
+def _bootstrapped(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.select("doc_id", "text").mapInArrow(_scan, f"doc_id {kind}, {_FOUND}, {_SEEN}")
     found = handed_off(found.withColumn("row", F.monotonically_increasing_id()), "pii-spans")

@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 3 << 20
+#: Slices of the steps that follow each other in one session: arrays and power tables take some 50 times the slice, and a worker keeps that memory for later steps.
+SMALL_SLICE = 1 << 19
 _P = 0x9E3779B97F4A7C15 | 1
 
 

@@ -1,13 +1,15 @@
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from studyframe.llm import neardup
+from studyframe.llm import decontaminate, neardup, pii, tokens
 from studyframe.llm.components import components
-from studyframe.llm.work import table
+from studyframe.llm.work import BATCH_ROWS, handed_off, small_batches, table
 
 
 def shingles(text):
@@ -140,3 +142,63 @@ def test_long_texts(spark):
     near = [w if k % 100 else "other" for k, w in enumerate(words)]
     docs = [(3, " ".join(words)), (2, " ".join(near)), (1, " ".join(words[:40_000]))]
     assert sorted((r["doc_id"], r["class_id"], r["class_size"]) for r in neardup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()) == [(1, 1, 1), (2, 2, 2), (3, 2, 2)]
+
+
+@pytest.mark.parametrize("step", ["bands", "sets", "items", "places"])
+def test_a_worker_holds_little(monkeypatch, step):
+    """The arrays of a step stay small beside the 6 MB of texts that come in one batch, and rows don't depend on the slices."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(800)) for _ in range(1000)]
+    batch = pa.record_batch([pa.array(range(1000), pa.int64()), pa.array(map(str, range(1000))), pa.array(texts)], ["node", "digest", "text"])
+    items = decontaminate.Index(list(enumerate(texts[:3])))
+
+    class Shared:
+        value = pii._hash_index([texts[0].split()[0], " ".join(texts[1].split()[:2])])
+
+    def rows():
+        if step == "items":
+            return items.matches(batch.column("text"))
+        return list({"bands": neardup._bands, "sets": neardup._sets, "places": pii._counter(Shared)}[step](iter([batch])))
+
+    def told(found):
+        return sorted(str(r) for b in found for r in (b.to_pylist() if isinstance(b, pa.RecordBatch) else [b]))
+
+    monkeypatch.setattr(tokens, "_powers", [])
+    tracemalloc.start()
+    at_once = rows()
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert at_once and most < 50
+    monkeypatch.setattr(tokens, "SMALL_SLICE", 1 << 15)
+    assert told(rows()) == told(at_once)
+
+
+def test_python_gets_small_batches(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+
+    def counted(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    def sizes():
+        return [r[0] for r in handed_off(spark.range(2 * BATCH_ROWS + 500).coalesce(1).mapInArrow(counted, "n long"), "sizes").collect()]
+
+    with small_batches(spark):
+        assert sorted(sizes()) == [500, BATCH_ROWS, BATCH_ROWS]
+    assert spark.conf.get(name) == before
+    try:
+        for given, wanted in (("7", "7"), ("0", str(BATCH_ROWS)), ("10000", str(BATCH_ROWS))):
+            spark.conf.set(name, given)
+            with small_batches(spark):
+                assert spark.conf.get(name) == wanted
+            assert spark.conf.get(name) == given
+    finally:
+        spark.conf.set(name, before)
+    write = lambda df, x: (seen.append(int(spark.conf.get(name))), handed_off(df, x))[1]
+    monkeypatch.setattr(neardup, "handed_off", write)
+    monkeypatch.setattr(pii, "handed_off", write)
+    docs = spark.createDataFrame([(1, "mail a@b.cd of one two three"), (2, "mail a@b.cd of one two three x"), (3, "call 030 123 4567 now")], "doc_id long, text string")
+    neardup.links(docs)
+    pii.find(docs)
+    assert seen and max(seen) <= BATCH_ROWS and spark.conf.get(name) == before
